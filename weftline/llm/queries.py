@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, pieces, simhash
+from weftline.llm import decontaminate, pieces, quality, simhash
 from weftline.llm.common import joined, table
 
 
@@ -22,6 +22,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pieces.encode_digests(F.col("text"), piece_model()).alias("p")).select("doc_id", "p.*")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = quality.judged(docs, table(spark, sf_dir, "labels"), prefix="")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined("items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -33,6 +39,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op4_decontaminate, op7_simhash)
+    f.__name__: f for f in (op1_sentencepiece, op3_quality, op4_decontaminate, op7_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}
