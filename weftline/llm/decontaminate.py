@@ -121,19 +121,28 @@ def _finder(search) -> Column:
     return find
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items (sorted), spans (hit words, start and end in turn)`` of each document."""
-    spark = docs.sparkSession
+def _searches(benchmark: DataFrame, item_id: str, item_text: str, size: int, slice_bytes: int) -> list:
+    """A broadcast search for each slice of the benchmark."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-total // slice_bytes))
+    parts = [items.where(F.pmod(F.xxhash64("item", "body"), F.lit(slices)) == k) if slices > 1 else items for k in range(slices)]
+    return [benchmark.sparkSession.sparkContext.broadcast(WindowSearch(windows_of([tuple(r) for r in part.collect()], size))) for part in parts]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, each judged alone."""
+    for search in _searches(benchmark, item_id, item_text, size, slice_bytes):
+        docs = docs.where(F.size(_finder(search)(F.col(text))["spans"]) == 0)
+    return docs
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items (sorted), spans (hit words, start and end in turn)`` of each document."""
     each = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    found = []
-    for k in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(slices)) == k) if slices > 1 else items
-        search = spark.sparkContext.broadcast(WindowSearch(windows_of([tuple(r) for r in part.collect()], size)))
-        found.append(each.select("doc_id", _finder(search)("body").alias("f")).select("doc_id", "f.*"))
-    if slices == 1:
+    searches = _searches(benchmark, item_id, item_text, size, slice_bytes)
+    found = [each.select("doc_id", _finder(search)("body").alias("f")).select("doc_id", "f.*") for search in searches]
+    if len(found) == 1:
         merged = found[0]
     else:
         union = found[0]

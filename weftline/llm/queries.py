@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, pieces, quality, simhash
-from weftline.llm.common import joined, table
+from weftline.llm import chunks, decontaminate, language, pieces, pii, quality, secret_scan, simhash, spans, toxicity, urls
+from weftline.llm.common import held_out, joined, table
 
 
 def piece_model() -> str:
@@ -22,6 +22,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pieces.encode_digests(F.col("text"), piece_model()).alias("p")).select("doc_id", "p.*")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = language.learn(docs.where(~held_out(F.col("doc_id"))))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language.predict(F.col("text"), known).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = quality.judged(docs, table(spark, sf_dir, "labels"), prefix="")
@@ -33,12 +39,46 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined("items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _counted(docs: DataFrame, kinds: tuple[str, ...], prefix: str) -> DataFrame:
+    """How many spans of each base kind, the digest of the base spans and all spans."""
+    counts = [F.size(f"{prefix}{k}").cast("long").alias(f"n_{k}") for k in kinds]
+    return docs.select("doc_id", *counts, F.sha2(spans.said(F.col(f"{prefix}base")), 256).alias("base_sha256"), spans.said(F.col(f"{prefix}spans")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _counted(pii.personal_data(docs), pii.BASE, "pii_")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _counted(secret_scan.secrets(docs), secret_scan.BASE, "secret_")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+RULES = [urls.Rule(*x) for x in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
+    weights = toxicity.fit(docs, labels)
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.scores(F.col("text"), weights, spark).alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op3_quality, op4_decontaminate, op7_simhash)
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_quality, op4_decontaminate, op5_pii, op6_urls, op7_simhash, op8_chunks, op9_toxicity, op10_secrets)
 }
 ORACLE_SQL: dict[str, str] = {}
