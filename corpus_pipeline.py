@@ -12,7 +12,9 @@ from weftline.llm.queries import piece_model
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.judged(docs, table(spark, sf_dir, "labels"), prefix="__q_").where("__q_kept").select(*docs.columns)
+    judged = quality.judged(docs, table(spark, sf_dir, "labels"), prefix="__q_")
+    # a filter would be pushed below the steps that make __q_kept and repeat them; an exploded one-element array is not
+    return judged.select(*docs.columns, F.explode(F.when(F.col("__q_kept"), F.array(F.lit(1)))).alias("__q_one")).drop("__q_one")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
