@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 16
-CHUNK = "array<struct<a:long,b:long,at:int,start:int,stop:int,words:int>>"
 
 
 def gear_table() -> np.ndarray:
@@ -61,43 +60,50 @@ def cuts(data: bytes, least: int, most: int, bits: int) -> list[int]:
     return out
 
 
-def chunked(text: str | None, least: int, most: int, bits: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Digest (two longs), number, start and end in code points, and words that begin, of each chunk."""
+def chunked(text: str | None, least: int, most: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Of each chunk the digest (two longs), start and end in code points, and the number of words that begin."""
     import xxhash
 
-    if not text:
-        return []
-    data = text.encode()
+    data = (text or "").encode()
+    if not data:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
     ends = cuts(data, least, most, bits)
+    digest = xxhash.xxh3_128_digest
+    halves = np.frombuffer(b"".join([digest(data[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]), "<i8").reshape(-1, 2)
     b = np.frombuffer(data, np.uint8)
     blank = (b == 32) | (b >= 9) & (b <= 13)
     begins = np.append(0, np.cumsum(~blank & np.append(True, blank[:-1])))
-    chars = np.append(0, np.cumsum(b & 0xC0 != 0x80))
-    starts = [0, *ends[:-1]]
-    out = []
-    for k, (s, e) in enumerate(zip(starts, ends, strict=True)):
-        d = xxhash.xxh3_128_digest(data[s:e])
-        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k, int(chars[s]), int(chars[e]), int(begins[e] - begins[s])))
-    return out
+    stops = np.cumsum(b & 0xC0 != 0x80)[np.array(ends) - 1]
+    return halves[:, 0], halves[:, 1], np.append(0, stops[:-1]), stops, np.diff(begins[[0, *ends]])
+
+
+NAMES = ("a", "b", "start", "stop", "words")
 
 
-def chunks(text: Column, least: int, most: int, bits: int) -> Column:
-    names = ("a", "b", "at", "start", "stop", "words")
+def chunks(text: Column, least: int, most: int, bits: int, names: tuple[str, ...] = NAMES) -> Column:
+    """``array<struct<...>>`` with the named parts of each chunk, in order."""
+    kept = [NAMES.index(n) for n in names]
 
-    @F.pandas_udf(CHUNK)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(", ".join(f"{n} array<long>" for n in names))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([[dict(zip(names, c, strict=True)) for c in chunked(t, least, most, bits)] for t in texts], dtype=object)
+            rows = [chunked(t, least, most, bits) for t in texts]
+            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for n, k in zip(names, kept, strict=True)})
 
     return of(text)
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 16, most: int = 1_024, bits: int = 5, run_words: int = 28) -> DataFrame:
-    """``doc_id, n_chunks, n_shared, n_removed, longest_run_words, repeats, removed`` of each document."""
-    cut = docs.select(F.col(doc_id).alias("doc_id"), chunks(F.col(text), least, most, bits).alias("c"))
-    each = cut.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.*")
-    shared = each.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("a", "b", "first")
-    hits = each.join(shared, ["a", "b"]).select("doc_id", F.struct("at", "start", "stop", "words", (F.col("first") != F.col("doc_id")).alias("removed")).alias("c"))
+    """``doc_id, n_shared, n_removed, chars_kept, longest_run_words, repeats, removed`` of each document."""
+    def exploded(names: tuple[str, ...]) -> DataFrame:
+        cut = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), chunks(F.col(text), least, most, bits, names).alias("c"))
+        zipped = F.arrays_zip(*(F.col(f"c.{n}").alias(n) for n in names))
+        return cut.select("doc_id", zipped.alias("c")).select("doc_id", F.posexplode("c").alias("at", "c")).select("doc_id", "at", "c.*")
+
+    shared = exploded(("a", "b")).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("a", "b", "first")
+    hits = exploded(NAMES).join(shared, ["a", "b"])
+    hits = hits.select("doc_id", F.struct("at", *(F.col(n).cast("int").alias(n) for n in ("start", "stop", "words")), (F.col("first") != F.col("doc_id")).alias("removed")).alias("c"))
     found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("c")).alias("c"))
     none = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
 
