@@ -73,7 +73,7 @@ class Ftrl:
         self.n[k] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 6_000, shards: int = 4, rounds: int = 5, window: int = 24, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 5_000, shards: int = 4, rounds: int = 4, window: int = 24, bits: int = 19, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with a weight, their weights, and the bias.
 
     The labelled ids are chosen first and their texts looked up by a broadcast of these ids: no text is shuffled but
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
         added = dealt.groupBy("shard").applyInPandas(trained, "k long, z double, n double")
         got = added.groupBy("k").agg(F.sum(F.round("z", 9)).alias("z"), F.sum(F.round("n", 9)).alias("n")).toArrow()
+        shared.destroy()  # its copies on the executors' disks go before the next round makes more
         k = got["k"].to_numpy()
         z[k] += got["z"].to_numpy()
         n[k] += got["n"].to_numpy()
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return k, w[k], float(w[-1])
 
 
-def scores(text: Column, model: tuple[np.ndarray, np.ndarray, float], spark, *, window: int = 24, bits: int = 20) -> Column:
+def scores(text: Column, model: tuple[np.ndarray, np.ndarray, float], spark, *, window: int = 24, bits: int = 19) -> Column:
     """The score of each whole text, 0 to 1."""
     shared = spark.sparkContext.broadcast(model)
 
