@@ -72,11 +72,11 @@ class PieceCoder:
         self.automaton.make_automaton()
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.stems = re.compile(CUT) if not any(re.search(CUT, p) for p in self.piece_id) else re.compile("(?!)")
-        self.fits = lru_cache(maxsize=1 << 18)(self._fits)
+        self.fits = Memo(lambda pair: self._fits(*pair), 1 << 18)
         self.history: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
-        self.prefix: dict[str, str] = {}
+        self.prefix = Memo(self._shorter, len(self.piece_id))
         self.known = set("".join(self.piece_id))
-        self.stem = Memo(lambda x: tuple(self.encode_stem(x)), memo_entries)
+        self.stem = Memo(lambda x: (",".join(map(str, ids := tuple(self.encode_stem(x)))), ids), memo_entries)
         self.segment = Memo(self.encode_segment, memo_entries)
 
     def merges(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
@@ -121,12 +121,9 @@ class PieceCoder:
             else:
                 j += 1
 
-    def shorter(self, piece: str) -> str:
+    def _shorter(self, piece: str) -> str:
         """The longest piece that is a proper prefix, or the empty text."""
-        if (hit := self.prefix.get(piece)) is None:
-            hit = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.piece_id), "")
-            self.prefix[piece] = hit
-        return hit
+        return next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.piece_id), "")
 
     def split(self, run: str) -> list[str]:
         """The pieces of a run of known characters, by backtracking."""
@@ -134,14 +131,14 @@ class PieceCoder:
         longest = [1] * n
         for end, size in self.automaton.iter(run):  # ends ascend: of one start, the last match is the longest
             longest[end - size + 1] = size
-        fits, shorter = self.fits, self.shorter
+        fits, shorter = self.fits.__getitem__, self.prefix.__getitem__
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
-        at, before, piece = 0, "", run[: longest[0]]
+        at, before, piece, clean = 0, "", run[: longest[0]], True
         while at < n:
             while piece:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and fits(before, piece):
+                if (clean or not failed[end >> 3] >> (end & 7) & 1) and fits((before, piece)):
                     break
                 piece = shorter(piece)
             if piece:
@@ -150,6 +147,7 @@ class PieceCoder:
                 piece = run[at : at + longest[at]] if at < n else ""
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                clean = False
                 piece = out.pop()
                 at -= len(piece)
                 before = out[-1] if out else ""
@@ -172,10 +170,8 @@ class PieceCoder:
 
     def encode_segment(self, segment: str) -> tuple[str, tuple[int, ...]]:
         """The ids, also as comma-joined text.  Tuples of numbers, so that the garbage collector need not track them."""
-        ids: tuple[int, ...] = ()
-        for stem in self.stems.split(segment):
-            ids += self.stem[stem]
-        return ",".join(map(str, ids)), ids
+        stems = [self.stem[x] for x in self.stems.split(segment)]
+        return stems[0] if len(stems) == 1 else (",".join([x[0] for x in stems]), tuple(chain.from_iterable([x[1] for x in stems])))
 
     def coded(self, text: str | None) -> list[tuple[str, tuple[int, ...]]]:
         segment = self.segment
@@ -197,6 +193,10 @@ class PieceCoder:
 
 @lru_cache(maxsize=2)
 def coder(model_path: str) -> PieceCoder:
+    """One per Python worker.  Its memos hold many small tuples, no cycles: the collector passes over them rarely."""
+    import gc
+
+    gc.set_threshold(100_000, 50, 1_000)
     return PieceCoder(model_path)
 
 
