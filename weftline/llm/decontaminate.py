@@ -148,7 +148,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_
         union = found[0]
         for x in found[1:]:
             union = union.unionByName(x)
-        pairs = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("a"), F.get("spans", (2 * i + 1).cast("int")).alias("b")))))
+        pairs = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b")))))
         union = union.withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")))
         merged = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(pairs).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         step = lambda acc, x: F.when(

@@ -83,10 +83,17 @@ def markov_weights(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     # the first class of a step stands for the state; its counts are the sums over its N steps
     total = lambda k, f: F.aggregate(F.slice("c", k * N + 1, N), F.lit(0).cast("long"), lambda a, x: a + x[f]).alias(f)
     state = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda k: F.struct(total(k, "r"), total(k, "i")))
-    row = row.withColumn("state", state)
-    log_p = lambda x, f: F.log((x[f] + 0.5) / (F.get("state", F.floor(x["step"] / N).cast("int"))[f] + 0.5 * N))
+    before = lambda k, f: F.aggregate(F.sequence(F.lit(0), F.lit(N - 1)), F.lit(0).cast("long"), lambda a, j: a + F.get("c", j * N + k)[f]).alias(f)
+    after = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda k: F.struct(before(k, "r"), before(k, "i")))
+    row = row.withColumns({"state": state, "after": after})
+
+    def log_p(x: Column, f: str, all_steps: str) -> Column:
+        """A step's probability after its first character, backed by the frequency of its second with a weight of N."""
+        alone = (F.get("after", (x["step"] % N).cast("int"))[f] + 0.5) / (F.col(all_steps) + 0.5 * N)
+        return F.log((x[f] + N * alone) / (F.get("state", F.floor(x["step"] / N).cast("int"))[f] + N))
+
     known = (F.col("rs") > 0) & (F.col("is") > 0)
-    return row.select(F.transform("c", lambda x: F.when(known, F.round((log_p(x, "r") - log_p(x, "i")) * MICRO)).otherwise(-MICRO).cast("int")).alias("weights"))
+    return row.select(F.transform("c", lambda x: F.when(known, F.round((log_p(x, "r", "rs") - log_p(x, "i", "is")) * MICRO)).otherwise(-MICRO).cast("int")).alias("weights"))
 
 
 def secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prefix: str = "secret_", least: int = 20, margin: float = 0.5, sample_docs: int = 5_000) -> DataFrame:

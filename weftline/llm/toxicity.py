@@ -127,6 +127,6 @@ def scores(text: Column, model: tuple[np.ndarray, np.ndarray, float], spark, *,
         weights[k] = w
         for texts in batches:
             top = np.array([window_sums(features(t, bits), weights, window).max() for t in texts], float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(top + bias, -700, 700))))
+            yield pd.Series(np.where(np.isfinite(bias), 1 / (1 + np.exp(-np.clip(top + bias, -700, 700))), 0.0))
 
     return score(text)
