@@ -21,7 +21,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     The temporary folder is for a single machine (tests); a cluster names its own.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     global _own
