@@ -160,6 +160,15 @@ def test_gray_index_finds_all_links():
     assert {frozenset(p) for p in got} == want and len(got) == len(want)
 
 
+def test_chunks_find_a_repeated_word_wherever_it_starts(spark):
+    """A stretch of one word has no cut of its own or one per period; the fallback cut must not depend on what precedes it."""
+    words = ("Der", "Edes", "menten", "Ofanwhon", "Üzu")
+    rows = [(10 * k + j, f"{'x' * (3 + 7 * j)} start {j}. " + " ".join([w] * 60) + f". end {j * 31}") for k, w in enumerate(words) for j in range(2)]
+    rows.append((99, "Nothing here is like any other text in this table, whatever words it may take to say so."))
+    got = {r.doc_id: r.repeats for r in chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got.pop(99) and all(got.values())
+
+
 def test_chunks_find_shared_passages(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8)))

@@ -1,8 +1,10 @@
 """Substring dedup by content-defined chunks: a gear rolling hash cuts texts, equal chunks are found by digest.
 
 A cut follows a byte where chosen bits of the gear hash of the last ``WINDOW`` bytes are zero, so an insertion shifts
-cuts only nearby.  Cuts closer than ``least`` bytes to the one before are left out, chunks of over ``most`` bytes are
-cut at that size, and no cut falls inside a character.  Chunks whose digest (128 bits) occurs in two or more documents
+cuts only nearby.  Cuts closer than ``least`` bytes to the one before are left out.  Where no cut comes within ``most``
+bytes, the last of the places with the smallest hash becomes one: in a stretch that repeats one word or phrase, which
+has no zero bits or has them in every period, such cuts fall on the same letter whatever stands before.  No cut falls
+inside a character.  Chunks whose digest (128 bits) occurs in two or more documents
 are shared.  Shared chunks that follow each other make a run; a document repeats if a run has ``run_words`` words or
 more, which a shared passage of over 50 words leaves after its ragged ends.  The document with the smallest id keeps a
 shared chunk, all others lose it (``removed`` gives their places).
@@ -46,13 +48,12 @@ def cuts(data: bytes, least: int, most: int, bits: int) -> list[int]:
     for k in range(1, min(WINDOW, n)):
         h[k:] += g[:-k] << np.uint16(k)
     inner = np.append(b[1:] & 0xC0 == 0x80, False)  # the next byte continues a character
-    places = np.flatnonzero((h >> np.uint16(WINDOW - bits) == 0) & ~inner) + 1
+    h[inner] = 0xFFFF
+    places = np.flatnonzero(h >> np.uint16(WINDOW - bits) == 0) + 1
     out, last = [], 0
     for p in [*places.tolist(), n]:
         while p - last > most:
-            last += most
-            while inner[last - 1]:
-                last -= 1
+            last += most - int(h[last + least - 1 : last + most][::-1].argmin())
             out.append(last)
         if p - last >= least or p == n and p > last:
             out.append(p)
@@ -94,7 +95,7 @@ def chunks(text: Column, least: int, most: int, bits: int, names: tuple[str, ...
     return of(text)
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 16, most: int = 1_024, bits: int = 5, run_words: int = 28) -> DataFrame:
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 16, most: int = 96, bits: int = 5, run_words: int = 28) -> DataFrame:
     """``doc_id, n_shared, n_removed, chars_kept, longest_run_words, repeats, removed`` of each document."""
     def exploded(names: tuple[str, ...]) -> DataFrame:
         cut = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), chunks(F.col(text), least, most, bits, names).alias("c"))
