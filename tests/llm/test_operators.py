@@ -220,6 +220,23 @@ def test_urls(spark):
     assert (got[1].host, got[1].path, got[4].host, got[5].path) == ("a.com", "/x", "", "")
 
 
+def test_urls_with_links_keep_one_scale(spark):
+    """The default threshold on pages with links, and a link between other hosts, which changes no verdict and no score."""
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/">' for h in hosts)
+    rows = [(1, "x://bad.net/fr/a", ""), (2, "x://half.net/fr/a", ""), (3, "x://half.net/de/", ""), (4, "x://friend.org/", link("bad.net")), (5, "x://far.org/", link("friend.org"))]
+    rows += [(6, "x://two.net/fr/", ""), (7, "x://p.org/", link("two.net")), (8, "x://q.org/", link("two.net", "three.net")), (9, "x://three.net/es/", ""), (10, "x://good.com/", link("fan.org")), (11, "x://fan.org/", link("three.net"))]
+    judge = lambda r: {p.page_id: p for p in urls.judged(spark.createDataFrame(r, "page_id long, url string, html string"), RULES).collect()}
+    got = judge(rows)
+    assert [got[k].verdict for k in range(1, 12)] == ["block"] * 6 + ["allow", "block", "block", "allow", "allow"]
+    assert [got[k].distrust for k in (1, 3, 4, 5, 7, 8, 11)] == pytest.approx([1, 0.5, 0.85, 0.85**2, 0.425, 0.85, 0.425])
+    assert (got[10].trust, got[11].trust) == pytest.approx((1, 0.85))
+    alone = [(k, u, "") for k, u, _ in rows]
+    other = [(12, "x://one.org/", link("other.org"))]
+    without, beside = judge(alone), judge(alone + other)
+    assert {k: beside[k] for k in without} == without
+    assert [without[k].verdict for k in (1, 2, 3)] == ["block"] * 3
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -3,8 +3,10 @@
 Rules name a host and a path; the longest that fits decides.  For all other urls the host decides: a personalised
 PageRank starts from trusted hosts and follows links, distrust starts from blocked hosts and follows them backwards (who
 links to a blocked host shares its distrust).  A host's seeds are the shares of its pages that rules allow or block, or
-given by the caller.  Scores are whole nano-units; sums do not depend on the order of rows.  A host is blocked if its
-distrust reaches ``threshold`` and exceeds its trust.
+given by the caller.  The rank is not scaled by ``1 - damping``: a host's score is its own seed and what links bring it
+on top, with links or without, so that links elsewhere do not change it and one threshold fits all tables; it exceeds 1
+where many links bring more.  Scores are whole nano-units; sums do not depend on the order of rows.  A host is blocked
+if its distrust reaches ``threshold`` and exceeds its trust.
 
 Links come from the pages' ``href`` attributes and are counted per pair of hosts before any shuffle of single links.
 
@@ -62,15 +64,18 @@ def host_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
 
 
 def spread(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
-    """``host, mass`` after ``rounds`` steps over ``src, dst, n``; ``seeds``: host, seed (nano-units)."""
+    """``host, mass`` after ``rounds`` steps over ``src, dst, n``; ``seeds``: host, seed (nano-units).
+
+    Each step a host has its seed and the damped mass of those that link to it.
+    """
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     shares = materialised(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
     now = seeds.select("host", F.col("seed").alias("mass"))
     if shares.isEmpty():
-        return now
+        return now  # what the rounds would give
     for k in range(rounds):
         moved = shares.join(now, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.floor(F.col("mass") * F.col("share") * damping)).alias("inflow"))
-        both = seeds.select("host", F.floor(F.col("seed") * (1 - damping)).alias("own"), F.lit(0).cast("long").alias("inflow")).unionByName(moved.select("host", F.lit(0).cast("long").alias("own"), "inflow"))
+        both = seeds.select("host", F.col("seed").alias("own"), F.lit(0).cast("long").alias("inflow")).unionByName(moved.select("host", F.lit(0).cast("long").alias("own"), "inflow"))
         now = both.groupBy("host").agg((F.sum("own") + F.sum("inflow")).alias("mass"))
         if (k + 1) % cut_every == 0:
             now = materialised(now)
