@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, and their defined edge cases."""
 
 import hashlib
+import inspect
 import random
 import re
 from collections import defaultdict
@@ -212,6 +213,20 @@ def test_toxicity(spark):
     assert df.limit(1).select(toxicity.scores(F.lit(None).cast("string"), none, spark)).first()[0] == 0
 
 
+def test_toxicity_learns_with_all_rounds_and_bits_from_sparse_state(spark, monkeypatch):
+    """The defaults are the whole training; a round's broadcast holds the coordinates learnt so far, no more."""
+    sent = []
+    put = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or put(self, value))
+    df = spark.createDataFrame([(k, f"{'nasty' if k % 2 else 'kind'} word{k % 5} text", k % 2) for k in range(40)], "doc_id long, text string, toxic int")
+    toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(sent) == 5 and all(len(x) == 3 for x in sent)
+    assert len(sent[0][0]) == 0 and 0 < len(sent[-1][0]) < 100 and all(np.all(n > 0) for _, _, n in sent)
+    assert max(int(k.max()) for k, _, _ in sent[1:]) == 1 << 20  # the bias
+    assert inspect.signature(toxicity.fit).parameters["sample_docs"].default == 6_000
+    assert inspect.signature(toxicity.scores).parameters["bits"].default == 20
+
+
 def test_urls(spark):
     rows = [(1, "http://A.com/x?y", "<p>"), (2, "https://en.example.com/en/1#f", None), (3, "http://www.example.com/en/", ""), (4, "no scheme", ""), (5, None, None), (6, "x://bad.net/fr/a", '<a href="/rel">'), (7, "x://bad.net/de/", ""), (8, "x://friend.org/", '<a href=http://bad.net/de/> <a href="http://bad.net/">')]
     got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES, threshold=0.05).collect()}

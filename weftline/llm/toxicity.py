@@ -73,7 +73,7 @@ class Ftrl:
         self.n[k] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 5_000, shards: int = 4, rounds: int = 4, window: int = 24, bits: int = 19, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 6_000, shards: int = 4, rounds: int = 5, window: int = 24, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with a weight, their weights, and the bias.
 
     The labelled ids are chosen first and their texts looked up by a broadcast of these ids: no text is shuffled but
@@ -89,10 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         return np.zeros(0, np.int64), np.zeros(0), float("-inf")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for turn in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((z, n))
+        known_k = np.flatnonzero((z != 0) | (n != 0))
+        shared = docs.sparkSession.sparkContext.broadcast((known_k, z[known_k], n[known_k]))
 
         def trained(pdf: pd.DataFrame) -> pd.DataFrame:
-            z0, n0 = shared.value  # noqa: B023
+            z0, n0 = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+            at, z0[at], n0[at] = shared.value  # noqa: B023
             m = Ftrl(z0.copy(), n0.copy(), alpha, beta, l1, l2)
             w0 = m.weights()[:-1]  # windows are chosen by the common state
             for body, y in pdf.sort_values("h")[["body", "y"]].itertuples(index=False):
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return k, w[k], float(w[-1])
 
 
-def scores(text: Column, model: tuple[np.ndarray, np.ndarray, float], spark, *, window: int = 24, bits: int = 19) -> Column:
+def scores(text: Column, model: tuple[np.ndarray, np.ndarray, float], spark, *, window: int = 24, bits: int = 20) -> Column:
     """The score of each whole text, 0 to 1."""
     shared = spark.sparkContext.broadcast(model)
 
