@@ -1,0 +1,95 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands for candidates, an exact check on the texts.
+
+1. A text's set of shingles (``size`` words in a row, the whole text if it is shorter) has a digest; rows with equal
+   sets are one item.  ``BANDS`` bands of ``ROWS`` minima each make an item's keys.  Two items at similarity s share a
+   key with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, more above.
+2. Items of a key are compared with its smallest one, then those of a key that are not yet in one component with each
+   other, so that many copies of one text cost no pairs.  A pair is a link if its texts' sets reach ``least``.
+3. Components over the links, joined back to the rows.
+
+Defined results: null and wordless texts are one item; a row's component does not depend on its id, null or repeated.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.llm.common import materialised
+from weftline.llm.simhash import FOLD, components
+
+BANDS, ROWS = 24, 5
+_random = np.random.default_rng(8)
+FLIP, TIMES = (_random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(text: str | None, size: int) -> set[bytes]:
+    words = [w for w in (text or "").encode().translate(FOLD).split(b" ") if w]
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def signature(text: str | None, size: int) -> tuple[str, int, list[int]]:
+    """The digest of the set, its size, and its keys."""
+    import xxhash
+
+    h = np.array(sorted({xxhash.xxh64_intdigest(x, 42) for x in shingles(text, size)}), "<u8")
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(h), 1 << 10):
+        least = np.minimum(least, ((h[k : k + (1 << 10), None] ^ FLIP) * TIMES).min(0))
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest(), len(h), keys
+
+
+def _signed(text: Column, size: int) -> Column:
+    @F.pandas_udf("item string, n long, keys array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([signature(t, size) for t in texts], columns=["item", "n", "keys"])
+
+    return of(text)
+
+
+def _alike(size: int, permille: int):
+    @F.pandas_udf("boolean")
+    def of(one: pd.Series, other: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(one, other, strict=True):
+            x, y = shingles(s, size), shingles(t, size)
+            both = len(x & y)
+            out.append(1000 * both >= permille * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    return of
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int = 800) -> DataFrame:
+    """The rows of ``docs`` with ``__row`` (a key of the row) and ``__component``."""
+    marked = materialised(docs.withColumns({"__row": F.monotonically_increasing_id(), "__s": _signed(F.col(text), size)}))
+    items = materialised(marked.groupBy(F.col("__s.item").alias("item")).agg(F.min("__row").alias("row"), F.first("__s.n").alias("n"), F.first("__s.keys").alias("keys")))
+    keyed = materialised(items.where("n > 0").select("item", "n", F.explode("keys").alias("key")))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("item", "n")).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("key", "h")
+    long_enough = lambda n, m: F.least(n, m) * 1000 >= F.greatest(n, m) * permille
+    shared = materialised(keyed.join(heads, "key"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialised(pairs.distinct())
+        asked = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct().join(items.select("item", "row"), "item")
+        bodies = materialised(marked.select(F.col("__row").alias("row"), F.col(text).alias("body")).join(asked, "row").select("item", "body"))
+        side = lambda k: bodies.select(F.col("item").alias(k), F.col("body").alias(f"body_{k}"))
+        return materialised(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(size, permille)("body_a", "body_b")).select("a", "b"))
+
+    first = links(shared.where((F.col("item") != F.col("h.item")) & long_enough(F.col("n"), F.col("h.n"))).select(F.col("h.item").alias("a"), F.col("item").alias("b")))
+    roots = components(first).withColumnRenamed("node", "item")
+    placed = materialised(shared.join(roots, "item", "left").select("key", "item", "n", F.coalesce("root", "item").alias("root")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    placed = placed.join(mixed, "key", "left_semi")
+    x, y = placed.alias("x"), placed.alias("y")
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & long_enough(F.col("x.n"), F.col("y.n")))
+    second = links(apart.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")))
+    roots = components(first.union(second))
+    return marked.join(roots, F.col("__s.item") == F.col("node"), "left").select(*docs.columns, "__row", F.coalesce("root", "__s.item").alias("__component"))
