@@ -104,6 +104,15 @@ def test_decontamination(spark, docs, texts, slice_bytes):
         assert (r.n_words, r.n_hit, r.n_items, r["items"]) == (len(w), len(hit), len(ids), sorted(ids))
 
 
+def test_decontamination_judges_each_row_alone_with_slices_too(spark):
+    rows = [(None, "one two three"), (None, "nothing here"), (None, "four five"), (7, "one two"), (7, "four five six"), (7, "clean"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, "one two"), (2, "four five"), (2, "four five"), (3, "six")], "item_id long, text string")
+    sliced, whole = (sorted((tuple(map(str, r)) for r in decontaminate.benchmark_hits(df, items, slice_bytes=b).collect())) for b in (8, 1 << 20))
+    assert len(sliced) == len(rows) and sliced == whole
+    assert [r[:4] for r in sliced if r[0] == "7"] == [("7", "1", "0", "0"), ("7", "2", "2", "1"), ("7", "3", "3", "2")]
+
+
 def test_pii_spans(spark):
     t = ["mail a.b@c.de.x_y@d.org, 1.2.3.4.5.6.7.8 999.1.1.1", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "tel +49 (0)30 1234567 é +1 2", "é DE89370400440532013000 DE89370400440532013001", "ssn 123-45-6789 and 123-45-6789", None, "", "1" * 30_000 + "a" * 30_000 + "@"]
     rows = pii.personal_data(spark.createDataFrame([(k, x) for k, x in enumerate(t)], "doc_id long, text string")).collect()

@@ -7,12 +7,12 @@ far the search may move on, buckets of windows by the last block of their shorte
 of the bucket byte for byte.
 
 The benchmark is cut into slices of at most ``slice_bytes`` of text.  Each slice's windows are broadcast and all
-documents searched for them; with more than one slice the findings of a document are merged by its id.  Nothing that
+documents searched for them; with more than one slice the findings of a row are merged by a key of the row.  Nothing that
 grows with the documents leaves the executors.
 
 Defined results: a null text or item has no words; an item without words has no windows; a document without words is
 clean; of items with a null id no id is listed, though their windows count as hits; items with the same id count as one.
-With several slices documents are told apart by their id; with one slice each row is judged alone.
+Each row is judged alone, whatever its id and however many slices there are.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import materialised
+
 #: Bytes that separate words become blanks, A-Z lower case; all others stand for themselves.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FOUND = "n_words long, spans array<long>, items array<string>"
@@ -123,7 +125,7 @@ def _finder(search) -> Column:
 
 def _searches(benchmark: DataFrame, item_id: str, item_text: str, size: int, slice_bytes: int) -> list:
     """A broadcast search for each slice of the benchmark."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-total // slice_bytes))
     parts = [items.where(F.pmod(F.xxhash64("item", "body"), F.lit(slices)) == k) if slices > 1 else items for k in range(slices)]
@@ -141,7 +143,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_
     """``doc_id, n_words, n_hit, n_items, items (sorted), spans (hit words, start and end in turn)`` of each document."""
     each = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
     searches = _searches(benchmark, item_id, item_text, size, slice_bytes)
-    found = [each.select("doc_id", _finder(search)("body").alias("f")).select("doc_id", "f.*") for search in searches]
+    if len(searches) > 1:  # the key must be the same for each slice
+        each = materialised(each.withColumn("row", F.monotonically_increasing_id()))
+    keys = each.columns[:1] + each.columns[2:]
+    found = [each.select(*keys, _finder(search)("body").alias("f")).select(*keys, "f.*") for search in searches]
     if len(found) == 1:
         merged = found[0]
     else:
@@ -150,7 +155,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_
             union = union.unionByName(x)
         pairs = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b")))))
         union = union.withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")))
-        merged = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(pairs).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = union.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(pairs).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         step = lambda acc, x: F.when(
             (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["b"]))),
