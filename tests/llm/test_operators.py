@@ -143,7 +143,7 @@ def test_secrets(spark):
 
 
 def test_simhash_components(docs, texts):
-    got = simhash.near_duplicates(docs.select("doc_id", "text", "lang"), chunk=8).collect()
+    got = simhash.near_duplicates(docs.select("doc_id", "text", "lang"), capacity=24).collect()
     assert len(got) == len(texts)
     fp = [r.fp & (1 << 64) - 1 for r in got]
     by_text = {t: simhash.fingerprint(t) for t in texts}
@@ -162,12 +162,23 @@ def test_simhash_components(docs, texts):
 
 def test_gray_index_finds_all_links():
     rnd = np.random.default_rng(1)
-    base = rnd.integers(0, 1 << 63, 40, dtype=np.uint64)
-    values = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rnd.integers(0, 64, 40).astype(np.uint64)) for _ in range(8))]))
-    index = simhash.GrayIndex(values)
-    got = {(int(index.values[a]), int(index.values[b])) for x, y in index.links(4) for a, b in zip(x, y, strict=True)}
+    base = rnd.integers(0, 1 << 63, 60, dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rnd.integers(0, 64, 60).astype(np.uint64)) for _ in range(8)), np.arange(40, dtype=np.uint64)]))
     want = {frozenset((int(a), int(b))) for a, b in combinations(values, 2) if int(a ^ b).bit_count() <= 4}
+    index, cut = simhash.GrayIndex(values), len(values) // 3
+    got = [(int(index.values[a]), int(index.values[b])) for x, y in index.pairs(index, simhash.exactly(4)) for a, b in zip(x, y, strict=True)]
     assert {frozenset(p) for p in got} == want and len(got) == len(want)
+    left = sum(len(q) for q, _ in index.near(index, simhash.exactly(4)))
+    assert left < (len(values) / index.LEAF) ** 2  # nodes rule out groups
+    one, two = simhash.GrayIndex(values[:cut]), simhash.GrayIndex(values[cut:])
+    across = {frozenset((int(one.values[a]), int(two.values[b]))) for x, y in one.pairs(two, simhash.exactly(4)) for a, b in zip(x, y, strict=True)}
+    assert across == {p for p in want if len(p & set(map(int, values[:cut]))) == 1}
+
+
+def test_votes_count_bits():
+    h = np.random.default_rng(2).integers(0, 1 << 63, (1000, 3), dtype=np.uint64)
+    for n in (0, 1, 2, 3, 7, 1000):
+        assert (simhash.votes(h[:n]) == [[int((x >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)] for x in h[:n].T]).all()
 
 
 def test_chunks_find_a_repeated_word_wherever_it_starts(spark):

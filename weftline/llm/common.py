@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where it is unset.
 
-    The temporary folder is for a single machine (tests); a cluster names its own.
+    The temporary folder is for a single machine (``local`` masters, as in tests); a cluster must name its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     if _own is None:
         _own = tempfile.mkdtemp(prefix="weftline-")
@@ -49,3 +51,13 @@ def joined(values: Column | Iterable[Column]) -> Column:
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """Whether crc32 of the id as text falls into the held-out fold; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``many`` joined with ``one`` (each key once) so that a key with very many rows is dealt to ``salts`` tasks.
+
+    The salt is a hash of the whole row: a task that runs again deals its rows as before.
+    """
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
+    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(each, [key, "__salt"], how).drop("__salt")

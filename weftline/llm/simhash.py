@@ -1,33 +1,77 @@
-"""SimHash near-duplicates: fingerprints, and exact links within a Hamming distance through Gray-order indexes.
+"""SimHash near-duplicates: fingerprints, and links within a Hamming distance by a Gray-order hierarchical index.
 
 1. Fingerprint: bit b is set if it is set in over half of the XXH64 values (seed 42) of the text's word shingles.
-2. Distinct fingerprints, each with its smallest document id, are dealt to groups: the 64 bits form ``radius + 2``
-   bands, and fingerprints within the radius agree in two bands at least, so each pair of bands with its bits is a key.
-   Keys held by one fingerprint go.  Keys with more than ``chunk`` fingerprints are dealt to chunks, and each pair of
-   chunks makes a group, so that no task holds an unbounded group.
-3. In a group a hierarchical index finds all links: fingerprints sorted by Gray rank, leaves of neighbours, upper nodes
-   that hold the bits all below share.  A search goes down from the top, adds the differences in each node's own bits
-   and leaves out whole groups once they pass the radius.  A group returns a spanning forest of its links, not pairs.
+2. Distinct fingerprints are sorted by Gray rank and cut, at quantiles, into blocks of about ``capacity``.  A block's
+   node has the bits that all below it share; the nodes (24 bytes for each block) are broadcast, and each block is
+   routed to those blocks only from which its node differs in ``allowed`` bits or fewer.
+3. A task searches one block in another.  There the index goes on: nodes of neighbours, each with the bits that it
+   shares beyond its parent.  Groups of neighbouring queries go down from the top, add up the differences in each
+   node's own bits and leave out a node, with all below it, once the sum passes what is allowed.  What is left is
+   compared bit by bit.  A task returns a spanning forest of its links, not pairs.
 4. Components by large-star and small-star rounds over these links, then joined back to the documents.
 
+A key never makes all pairs of its group: copies are one fingerprint, and within a block the search is by node.
+A ball of radius 4 has few fingerprints beside the number of documents that a group of near copies may hold, since
+near copies differ in few bits.
+
+``near_duplicates`` finds links within ``radius`` bits of one fingerprint; the search is exact.  ``similar`` finds texts
+whose sets of shingles have a Jaccard similarity of ``permille`` or more: ``WORDS`` independent fingerprints each make
+an index, in which the allowed differences grow with the number of bits compared (``LOOSE``), so that upper nodes prune
+early; candidates are near in all fingerprints together and are then compared exactly.
+
 Defined results: a null or wordless text has fingerprint zero and links like any other; repeated rows each get a row;
 a null id stands in no minimum, and a component of null ids only has a null component id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialised
+from weftline.llm.common import materialised, salted_join
 
 #: A-Z lower case; the white space that ends words becomes blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: Independent fingerprints of a text in ``similar``.
+WORDS = 6
+#: In ``similar``: differences allowed among d bits of nodes are 1.5 + d * LOOSE; at similarity 0.8 the mean is 0.152 d.
+LOOSE = 0.15
+#: In ``similar``: differences allowed in one whole fingerprint (0.998 of pairs at similarity 0.8), and in all of them
+#: together, in 1/1000 of their bits (0.998 of pairs).
+NARROW, WIDE = 18, 205
+
+
+def votes(h: np.ndarray) -> np.ndarray:
+    """For each column of ``h`` (64-bit words) and each bit, in how many rows it is set.
+
+    Three words of one weight become one of this weight and one of twice the weight (a full adder on all bits), until
+    at most two words of each weight are left to unpack.
+    """
+    columns = h.shape[1]
+    total, weight = np.zeros((columns, 64), np.int64), 1
+    while len(h):
+        carried = [h[:0]]
+        while len(h) > 2:
+            m = len(h) // 3
+            a, b, c = h[:m], h[m : 2 * m], h[2 * m : 3 * m]
+            x = a ^ b
+            carried.append((a & b) | (c & x))
+            h = np.concatenate([x ^ c, h[3 * m :]])
+        for row in h:
+            total += weight * np.unpackbits(np.ascontiguousarray(row).view(np.uint8).reshape(columns, 8), axis=1, bitorder="little").astype(np.int64)
+        h = np.concatenate(carried)
+        weight *= 2
+    return total
+
+
+def _majority(total: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -41,13 +85,12 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
     n = len(words) - size + 1
     first, last = starts[:n], ends[size - 1 :]
+    total = np.zeros((1, 64), np.int64)
     for k in range(0, n, 1 << 16):  # bounded memory on very long texts
-        h = np.array([digest(body[a:b], 42) for a, b in zip(first[k : k + (1 << 16)].tolist(), last[k : k + (1 << 16)].tolist(), strict=True)], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
+        total += votes(np.array([digest(body[a:b], 42) for a, b in zip(first[k : k + (1 << 16)].tolist(), last[k : k + (1 << 16)].tolist(), strict=True)], "<u8")[:, None])
+    return int(_majority(total, n)[0])
 
 
 def fingerprints(text: Column, size: int = 4) -> Column:
@@ -69,90 +112,196 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _shared(values: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of values: the mask of the bits that all have alike, and these bits."""
+    starts = np.arange(0, len(values), run)
+    ones, any_one = np.bitwise_and.reduceat(values, starts), np.bitwise_or.reduceat(values, starts)
+    mask = ~(ones ^ any_one)
+    return mask, ones & mask
+
+
 class GrayIndex:
-    """Levels from the top.  Each node has the bits that all below it share and its parent has not, and its children."""
-
-    def __init__(self, values: np.ndarray, leaf: int = 8, fan: int = 4):
-        self.values = bits = values[np.argsort(gray_rank(values), kind="stable")]
-        mask = np.full(len(bits), ~np.uint64(0))
-        below = np.zeros(0, np.int64)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(bits) > 1:
-            starts = np.arange(0, len(bits), fan if self.levels else leaf)
-            ones, any_one = np.bitwise_and.reduceat(bits, starts), np.bitwise_or.reduceat(bits, starts)
-            shared = np.bitwise_and.reduceat(mask, starts) & ~(ones ^ any_one)
-            bounds = np.append(starts, len(bits))
-            self.levels.insert(0, (mask & ~np.repeat(shared, np.diff(bounds)), bits, below))
-            mask, bits, below = shared, ones & shared, bounds
-        self.levels.insert(0, (mask, bits, below))
-
-    def links(self, radius: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (first below second) within the radius, for a block of queries at a time."""
-        for begin in range(0, len(self.values), block):
-            q = np.arange(begin, min(begin + block, len(self.values)))
-            own, bits, below = self.levels[0]
-            node = np.zeros(len(q), np.int64)
-            far = np.bitwise_count((self.values[q] ^ bits[node]) & own[node]).astype(np.int64)
-            for own, bits, deeper in self.levels[1:]:
-                near = far <= radius
-                q, node, far = q[near], node[near], far[near]
-                sizes = below[node + 1] - below[node]
-                up = np.repeat(np.arange(len(q)), sizes)
-                node = below[node][up] + np.arange(len(up)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                q = q[up]
-                far = far[up] + np.bitwise_count((self.values[q] ^ bits[node]) & own[node])
-                below = deeper
-            near = (far <= radius) & (node > q)
-            yield q[near], node[near]
-
-
-def linked(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints: (root, other) pairs."""
-    index = GrayIndex(values)
-    root = list(range(len(values)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in index.links(radius):
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = find(x), find(y)
+    """Nodes over values in Gray order, from the top down: each level's (own bits' mask, bits).
+
+    A node's own bits are those that all below it share and not all below its parent.
+    """
+
+    LEAF, FAN = 16, 4
+
+    def __init__(self, values: np.ndarray):
+        self.order = np.argsort(gray_rank(values), kind="stable")
+        self.values = values[self.order]
+        runs = [self.LEAF]
+        while runs[-1] < len(values):
+            runs.append(runs[-1] * self.FAN)
+        self.levels = []
+        above = np.zeros(1, np.uint64)
+        for run in reversed(runs):
+            mask, bits = _shared(self.values, run)
+            self.levels.append((mask & ~np.repeat(above, self.FAN)[: len(mask)], bits))
+            above = mask
+
+    def near(self, other: GrayIndex, allowed: np.ndarray, groups: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (leaf group of self, leaf group of other) that no node between them rules out.
+
+        ``allowed[d]``: the differences allowed among d bits compared.
+        """
+        mask, bits = _shared(self.values, self.LEAF)
+        for begin in range(0, len(mask), groups):
+            q = np.arange(begin, min(begin + groups, len(mask)))
+            node, far, seen = (np.zeros(len(q), np.int64) for _ in range(3))
+            for level, (own, shared) in enumerate(other.levels):
+                if level:
+                    q, node = np.repeat(q, self.FAN), (node[:, None] * self.FAN + np.arange(self.FAN)).ravel()
+                    far, seen = np.repeat(far, self.FAN), np.repeat(seen, self.FAN)
+                    there = node < len(own)
+                    q, node, far, seen = q[there], node[there], far[there], seen[there]
+                both = own[node] & mask[q]
+                far = far + np.bitwise_count((shared[node] ^ bits[q]) & both)
+                seen = seen + np.bitwise_count(both)
+                left = far <= allowed[seen]
+                q, node, far, seen = q[left], node[left], far[left], seen[left]
+            yield q, node
+
+    def pairs(self, other: GrayIndex, allowed: np.ndarray, at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in self and other of the values that differ in ``allowed[64]`` bits or fewer; within self, each pair once."""
+        span = np.arange(self.LEAF)
+        for q, node in self.near(other, allowed):
+            if other is self:
+                q, node = q[q <= node], node[q <= node]
+            for k in range(0, len(q), at_once):
+                a = q[k : k + at_once, None] * self.LEAF + span
+                b = node[k : k + at_once, None] * self.LEAF + span
+                x, y = self.values[np.minimum(a, len(self.values) - 1)], other.values[np.minimum(b, len(other.values) - 1)]
+                hit = np.flatnonzero(np.bitwise_count(x[:, :, None] ^ y[:, None, :]) <= allowed[64])
+                r, i, j = hit // self.LEAF**2, hit // self.LEAF % self.LEAF, hit % self.LEAF
+                a, b = a[r, i], b[r, j]
+                kept = (a < len(self.values)) & (b < len(other.values))
+                if other is self:
+                    kept &= a < b
+                yield a[kept], b[kept]
+
+
+def exactly(radius: int) -> np.ndarray:
+    return np.full(65, radius)
+
+
+class Forest:
+    """Union-find over 0 .. n - 1; ``add`` returns which of the pairs joined two trees."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        while True:  # flat, so that most pairs of one tree are told in one step
+            up = self.root[self.root]
+            if (up == self.root).all():
+                break
+            self.root = up
+        apart = np.flatnonzero(self.root[a] != self.root[b])
+        kept = []
+        root = self.root
+        for k, x, y in zip(apart.tolist(), a[apart].tolist(), b[apart].tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
             if x != y:
                 root[max(x, y)] = min(x, y)
-    signed = index.values.astype(np.int64).tolist()
-    return [(signed[r], signed[x]) for x in range(len(signed)) if (r := find(x)) != x]
+                kept.append(k)
+        return np.array(kept, np.int64)
+
 
+def _forest(a: GrayIndex, b: GrayIndex, ids_a: np.ndarray, ids_b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = 0 if a is b else len(ids_a)
+    forest = Forest(len(ids_a) + (len(ids_b) if shift else 0))
+    out = [(ids_a[:0], ids_b[:0])]
+    for x, y in a.pairs(b, exactly(radius)):
+        x, y = a.order[x], b.order[y]
+        kept = forest.add(x, y + shift)
+        out.append((ids_a[x[kept]], ids_b[y[kept]]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
-def _band_keys(fp: Column, radius: int) -> Column:
-    """An array of keys: each pair of bands, with its bits."""
-    n = radius + 2
-    cuts = [64 * k // n for k in range(n + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return F.array(*(F.struct(F.lit(k).alias("bands"), fp.bitwiseAND(F.lit(signed(x | y))).alias("bits")) for k, (x, y) in enumerate(combinations(masks, 2))))
 
+def _blocks(rows: DataFrame, columns: list[str], capacity: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` once for each of the fingerprint columns, as ``k, block, ...``; and the nodes of the blocks.
 
-def hamming_links(fps: DataFrame, radius: int = 4, chunk: int = 256) -> DataFrame:
+    The bounds of the blocks are quantiles of the Gray rank: a few numbers for each ``capacity`` rows.
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // capacity))
+
+    @F.pandas_udf("long")
+    def rank(fp: pd.Series) -> pd.Series:
+        return pd.Series(gray_rank(fp.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    bounds = [np.zeros(0, np.int64)] * len(columns)
+    if blocks > 1:
+        at = [j / blocks for j in range(1, blocks)]
+        got = rows.select(*(rank(c).alias(c) for c in columns)).agg(*(F.percentile_approx(c, at, max(10_000, 20 * blocks)).alias(c) for c in columns)).first()
+        bounds = [np.unique(np.array(got[c], np.int64)) for c in columns]
+
+    @F.pandas_udf("array<int>")
+    def placed(*fps: pd.Series) -> pd.Series:
+        places = [np.searchsorted(b, gray_rank(x.to_numpy(np.int64).view(np.uint64)).view(np.int64), "right") for x, b in zip(fps, bounds, strict=True)]
+        return pd.Series(list(np.stack(places, 1).astype(np.int32)))
+
+    dealt = rows.withColumn("__at", placed(*columns) if blocks > 1 else F.array(*(F.lit(0) for _ in columns)))
+    dealt = materialised(dealt.select("*", F.posexplode("__at").alias("k", "block")).drop("__at"))
+    word = F.element_at(F.array(*columns), F.col("k") + 1)
+    nodes = dealt.groupBy("k", "block").agg(F.bit_and(word).alias("ones"), F.bit_or(word).alias("any"))
+    return dealt, nodes
+
+
+def _routes(nodes: DataFrame, allowed: np.ndarray) -> DataFrame:
+    """``k, s, t``: the pairs of blocks (s <= t) that their nodes do not rule out."""
+    nodes = materialised(nodes)
+    table = nodes.toPandas()  # 24 bytes for each block of fingerprints
+    by_k = {}
+    for k, part in table.groupby("k"):
+        ones, any_one = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("ones", "any"))
+        by_k[k] = (part["block"].to_numpy(), ~(ones ^ any_one), ones)
+    shared = nodes.sparkSession.sparkContext.broadcast(by_k)
+
+    @F.pandas_udf("array<int>")
+    def partners(k: pd.Series, block: pd.Series, ones: pd.Series, any_one: pd.Series) -> pd.Series:
+        out = []
+        for kk, s, x, y in zip(k, block, ones.to_numpy(np.int64).view(np.uint64), any_one.to_numpy(np.int64).view(np.uint64), strict=True):
+            at, mask, bits = shared.value[kk]
+            both = mask & ~(x ^ y)
+            far, seen = np.bitwise_count((bits ^ x) & both), np.bitwise_count(both)
+            out.append(at[(far <= allowed[seen]) & (at >= s)].astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    return nodes.select("k", F.col("block").alias("s"), F.explode(partners("k", "block", "ones", "any")).alias("t"))
+
+
+def _searched(rows: DataFrame, columns: list[str], allowed: np.ndarray, capacity: int, search: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``search(k, one block, the other)`` for each pair of blocks that is not ruled out, in a task of its own."""
+    dealt, nodes = _blocks(rows, columns, capacity)
+    routes = materialised(_routes(nodes, allowed))
+    one = dealt.withColumnRenamed("block", "s").join(routes, ["k", "s"]).withColumn("side", F.lit(0))
+    two = dealt.withColumnRenamed("block", "t").join(routes.where("s != t"), ["k", "t"]).withColumn("side", F.lit(1))
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["side"].to_numpy()
+        a, b = pdf[side == 0], pdf[side == 1]
+        return search(int(pdf["k"].iloc[0]), a, b if len(b) else a)
+
+    return one.unionByName(two).groupBy("k", "s", "t").applyInPandas(task, schema)
+
+
+def hamming_links(fps: DataFrame, radius: int = 4, capacity: int = 1 << 15) -> DataFrame:
     """``a, b``: links that join all distinct values of ``fp`` within ``radius`` of one another."""
-    keyed = fps.select("fp", F.explode(_band_keys(F.col("fp"), radius)).alias("key")).select("fp", "key.bands", "key.bits")
-    held = keyed.groupBy("bands", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / chunk)
-    own = F.pmod(F.xxhash64("fp"), chunks)
-    pairs = F.when(chunks == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda k: k != own), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    )
-    dealt = keyed.join(held, ["bands", "bits"]).select("fp", "bands", "bits", F.explode(pairs).alias("p"))
-    groups = dealt.groupBy("bands", "bits", "p").agg(F.collect_list("fp").alias("fps"))
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def forest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([[{"a": a, "b": b} for a, b in linked(np.asarray(r, np.int64).astype(np.uint64), radius)] for r in rows], dtype=object)
+    def search(k: int, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        x = one["fp"].to_numpy(np.int64)
+        a = GrayIndex(x.view(np.uint64))
+        y, b = (x, a) if two is one else (two["fp"].to_numpy(np.int64), GrayIndex(two["fp"].to_numpy(np.int64).view(np.uint64)))
+        p, q = _forest(a, b, x, y, radius)
+        return pd.DataFrame({"a": p, "b": q})
 
-    return groups.select(F.explode(forest("fps")).alias("l")).select("l.a", "l.b").distinct()
+    return _searched(fps.select("fp"), ["fp"], exactly(radius), capacity, search, "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -165,26 +314,150 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break  # stars only: each node has one link, to a root that has none
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, down, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialised(ordered(small.union(down.select("a", F.col("m").alias("b")))))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, chunk: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, capacity: int = 1 << 15) -> DataFrame:
     """``doc_id, fp (long), component_id`` of each document."""
     marked = materialised(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), size).alias("fp")))
     fps = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(hamming_links(fps, radius, chunk))
-    placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = materialised(components(hamming_links(fps, radius, capacity)))
     # most components are one fingerprint; the others are summed up by root and joined back
-    shared = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(shared, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    others = roots.select("node", "root").union(roots.select("root", "root").distinct())
+    others = fps.join(others, F.col("fp") == F.col("node")).select("fp", "least", "root")
+    named = salted_join(others, others.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    named = fps.join(named.select("fp", "component_id", F.lit(True).alias("many")), "fp", "left")
+    named = named.select("fp", F.when(F.col("many"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return salted_join(marked, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# --- by the similarity of shingle sets --------------------------------------------------------------------------------
+
+#: Odd multipliers that make further hash values of a shingle from its XXH64 value.
+MIX = (np.arange(1, WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def shingles(text: str | None, size: int) -> set[bytes]:
+    words = [w for w in (text or "").encode().translate(FOLD).split(b" ") if w]
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def signature(text: str | None, size: int) -> tuple:
+    """The digest of the set of shingles, its size, and its fingerprints as signed longs."""
+    import xxhash
+
+    h = np.array(sorted({xxhash.xxh64_intdigest(x, 42) for x in shingles(text, size)}), "<u8")
+    total = np.zeros((WORDS, 64), np.int64)
+    for k in range(0, len(h), 1 << 14):
+        part = h[k : k + (1 << 14)]
+        more = part[:, None] * MIX
+        more ^= more >> np.uint64(32)
+        more *= MIX
+        total += votes(np.concatenate([part[:, None], more ^ (more >> np.uint64(29))], 1))
+    return (hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest(), len(h), *_majority(total, len(h)).view(np.int64).tolist())
+
+
+@lru_cache(maxsize=256)
+def _kept(text: str | None, size: int) -> set[bytes]:
+    return shingles(text, size)
+
+
+def _alike(size: int, permille: int):
+    @F.pandas_udf("boolean")
+    def of(one: pd.Series, other: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(one, other, strict=True):
+            x, y = _kept(s, size), _kept(t, size)
+            both = len(x & y)
+            out.append(1000 * both >= permille * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    return of
+
+
+def _candidates(items: DataFrame, permille: int, capacity: int, nearest: bool) -> DataFrame:
+    """``a, b`` (rows of items): candidates with different ``root``; if ``nearest`` only the nearest one of each row."""
+    names = [f"w{k}" for k in range(WORDS)]
+    allowed = np.floor(1.5 + np.arange(65) * LOOSE)
+    allowed[64] = NARROW
+    most = 64 * WORDS * WIDE // 1000
+
+    def search(k: int, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        w = [np.ascontiguousarray(x[names].to_numpy(np.int64).view(np.uint64).T) for x in ((one,) if two is one else (one, two))]
+        index = [GrayIndex(x[k]) for x in w]
+        n, root, row = ([x[c].to_numpy(np.int64) for x in (one, two)] for c in ("n", "root", "row"))
+        found = [np.zeros((3, 0), np.int64)]
+        for p, q in index[0].pairs(index[-1], allowed):
+            p, q = index[0].order[p], index[-1].order[q]
+            m, l = n[0][p], n[1][q]  # noqa: E741
+            left = (root[0][p] != root[1][q]) & (np.minimum(m, l) * 1000 >= np.maximum(m, l) * permille)
+            p, q = p[left], q[left]
+            far = sum((np.bitwise_count(x[p] ^ y[q]).astype(np.int64) for x, y in zip(w[0], w[-1], strict=True)), np.zeros(len(p), np.int64))
+            left = far <= most
+            found.append(np.stack([p[left], q[left], far[left]]))
+            if nearest and sum(x.shape[1] for x in found) > 1 << 20:
+                found = [_nearest(np.concatenate(found, 1), two is one)]
+        p, q, _ = _nearest(np.concatenate(found, 1), two is one) if nearest else np.concatenate(found, 1)
+        return pd.DataFrame({"a": np.minimum(row[0][p], row[1][q]), "b": np.maximum(row[0][p], row[1][q])})
+
+    rows = items.select("row", "root", "n", *names)
+    return _searched(rows, names, allowed, capacity, search, "a long, b long").distinct()
+
+
+def _nearest(found: np.ndarray, same: bool) -> np.ndarray:
+    """Of each row on either side the pair with the least distance."""
+    kept = np.zeros(found.shape[1], bool)
+    sides = [found[0], found[1]]
+    if same:
+        sides = [np.concatenate(sides)]
+    for x in sides:
+        at = np.arange(len(x)) % max(found.shape[1], 1)
+        by = np.lexsort((at, found[2][at], x))
+        kept[at[by[np.flatnonzero(np.diff(x[by], prepend=-1))]]] = True
+    return found[:, kept]
+
+
+def similar(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int = 800, capacity: int = 1 << 18) -> DataFrame:
+    """The rows of ``docs`` with ``__row`` (a key of the row) and ``__component``: rows linked by a Jaccard similarity of
+    ``permille`` or more of their sets of shingles, or by a chain of such.  Rows with equal sets are one item.
+
+    First each item is compared with its nearest candidates, twice, then all candidates that are not yet in one
+    component: copies of one text cost no pairs.  Null and wordless texts are one item; ids play no part.
+    """
+    names = [f"w{k}" for k in range(WORDS)]
+
+    @F.pandas_udf("item string, n long, " + ", ".join(f"{w} long" for w in names))
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([signature(t, size) for t in texts], columns=["item", "n", *names])
+
+    marked = materialised(docs.withColumns({"__row": F.monotonically_increasing_id(), "__s": signed(F.col(text))}))
+    items = marked.groupBy(F.col("__s.item").alias("item")).agg(F.min("__row").alias("row"), *(F.first(f"__s.{c}").alias(c) for c in ("n", *names)))
+    items = materialised(items)
+    searched = items.where("n > 0").withColumn("root", F.col("row"))
+    links = roots = None
+    for nearest in (True, True, False):
+        if roots is not None:
+            again = items.where("n > 0").join(roots, F.col("row") == F.col("node"), "left")
+            searched = again.withColumn("root", F.coalesce("root", "row")).drop("node")
+        pairs = materialised(_candidates(searched, permille, capacity, nearest))
+        if roots is not None and pairs.isEmpty():
+            break
+        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        bodies = materialised(marked.select(F.col("__row").alias("row"), F.col(text).alias("body")).join(asked, "row", "left_semi"))
+        side = lambda k: bodies.select(F.col("row").alias(k), F.col("body").alias(f"body_{k}"))  # noqa: B023, E731
+        sound = materialised(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(size, permille)("body_a", "body_b")).select("a", "b"))
+        links = sound if links is None else links.unionByName(sound)
+        roots = materialised(components(links))
+    named = items.join(roots, F.col("row") == F.col("node"), "left").select("item", F.coalesce("root", "row").alias("__component"))
+    return salted_join(marked.withColumn("item", F.col("__s.item")), named, "item").select(*docs.columns, "__row", "__component")
