@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, minhash, pieces, pii, quality
+from weftline.llm import decontaminate, pieces, pii, quality, simhash
 from weftline.llm.common import materialised, table
 from weftline.llm.queries import piece_model
 
@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (0.8 of their five-word shingles shared, or linked by such) one row stays, that with the
     smallest id; a row without an id only if its group has none."""
-    near = materialised(minhash.near_duplicates(docs))
+    near = materialised(simhash.similar(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
     first = near.groupBy("__component").agg(F.min_by("__row", order).alias("__row"))
     return near.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
@@ -47,7 +47,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_good),
-    ("near-dedup", keep_one_of_each_group),
+    ("simhash near-dedup", keep_one_of_each_group),
     ("benchmark decontamination", drop_contaminated),
     ("personal data", redact),
     ("sentencepiece", tokenize),
