@@ -272,6 +272,31 @@ def test_urls_with_links_keep_one_scale(spark):
     assert [without[k].verdict for k in (1, 2, 3)] == ["block"] * 3
 
 
+def test_urls_against_plain_pagerank(spark):
+    """Random links with hubs, cycles and dangling hosts: masses are proportional to a PageRank computed in plain Python."""
+    rnd = random.Random(6)
+    hosts = [f"h{k}.org" for k in range(12)] + ["a.com", "b.com", "bad.net"]
+    links = {(s, d) for s in hosts[:10] for d in rnd.sample(hosts, 3) if s != d}
+    rows = [(k, f"x://{s}/{'fr/' if s == 'bad.net' else ''}", " ".join(f"<a href=x://{d}/>" for t, d in sorted(links) if t == s)) for k, s in enumerate(hosts)]
+    got = {r.host: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    for field, seeds, pairs in (("trust", ["a.com", "b.com"], links), ("distrust", ["bad.net"], {(d, s) for s, d in links})):
+        jump = {h: (h in seeds) / len(seeds) for h in hosts}
+        out = defaultdict(list)
+        for s, d in pairs:
+            out[s].append(d)
+        rank = dict(jump)
+        for _ in range(300):  # with dangling hosts returned to the seeds
+            lost = sum(rank[h] for h in hosts if not out[h])
+            step = {h: (0.15 + 0.85 * lost) * jump[h] for h in hosts}
+            for s in hosts:
+                for d in out[s]:
+                    step[d] += 0.85 * rank[s] / len(out[s])
+            rank = step
+        factor = sum(getattr(got[h], field) for h in hosts) / sum(rank.values())
+        assert [getattr(got[h], field) for h in hosts] == pytest.approx([factor * rank[h] for h in hosts], abs=1e-4)
+    assert all(r.verdict == ("block" if r.rule == "net/fr/" or (r.rule is None and r.distrust >= 0.5 and r.distrust > r.trust) else "allow") for r in got.values())
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

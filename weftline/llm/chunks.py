@@ -4,16 +4,20 @@ A cut follows a byte where chosen bits of the gear hash of the last ``WINDOW`` b
 cuts only nearby.  Cuts closer than ``least`` bytes to the one before are left out.  Where no cut comes within ``most``
 bytes, the last of the places with the smallest hash becomes one: in a stretch that repeats one word or phrase, which
 has no zero bits or has them in every period, such cuts fall on the same letter whatever stands before.  No cut falls
-inside a character.  Chunks whose digest (128 bits) occurs in two or more documents
-are shared.  Shared chunks that follow each other make a run; a document repeats if a run has ``run_words`` words or
-more, which a shared passage of over 50 words leaves after its ragged ends.  The document with the smallest id keeps a
-shared chunk, all others lose it (``removed`` gives their places).
+inside a character.
 
-Digests are counted by partial aggregates (smallest and largest id), and joined back by digest; a digest that a third
-of all documents hold is a skewed join side, which Spark splits.  No group is gathered but a document's own chunks.
+Texts are chunked once, under a row key that is written with the chunks.  A chunk whose digest (128 bits) occurs in two
+or more rows is common.  Common chunks that follow each other make a run; only runs of ``run_words`` words or more count
+as shared, which a passage of over 50 words leaves after its ragged ends: a lone chunk, or a common phrase, is left
+alone.  Of the rows that hold a shared chunk the one with the smallest id keeps it, all others lose it (``removed``
+gives the places).
 
-Defined results: null and empty texts have no chunks; chunks repeated in one document alone are not shared; rows with
-the same id count as one document, and each such row gets that document's result; rows with a null id are never shared.
+Digests are counted by partial aggregates and joined back by digest and salt, so that a digest that a third of all rows
+hold is dealt to several tasks.  No group is gathered but a row's own chunks.
+
+Defined results: null and empty texts have no chunks; chunks repeated in one row alone are not shared; each row is a
+document of its own, whatever its id: repeated rows share all they hold, and one of them keeps it; rows with a null id
+keep a chunk only where no row with an id holds it.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import materialised, salted_join
+
 WINDOW = 16
 
 
@@ -62,13 +68,13 @@ def cuts(data: bytes, least: int, most: int, bits: int) -> list[int]:
 
 
 def chunked(text: str | None, least: int, most: int, bits: int) -> tuple[np.ndarray, ...]:
-    """Of each chunk the digest (two longs), start and end in code points, and the number of words that begin."""
+    """Of each chunk the digest (two longs), its end in code points, and the number of words that begin in it."""
     import xxhash
 
     data = (text or "").encode()
     if not data:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none.astype(np.int32), none.astype(np.int32)
     ends = cuts(data, least, most, bits)
     digest = xxhash.xxh3_128_digest
     halves = np.frombuffer(b"".join([digest(data[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]), "<i8").reshape(-1, 2)
@@ -76,52 +82,65 @@ def chunked(text: str | None, least: int, most: int, bits: int) -> tuple[np.ndar
     blank = (b == 32) | (b >= 9) & (b <= 13)
     begins = np.append(0, np.cumsum(~blank & np.append(True, blank[:-1])))
     stops = np.cumsum(b & 0xC0 != 0x80)[np.array(ends) - 1]
-    return halves[:, 0], halves[:, 1], np.append(0, stops[:-1]), stops, np.diff(begins[[0, *ends]])
-
+    return halves[:, 0], halves[:, 1], stops.astype(np.int32), np.diff(begins[[0, *ends]]).astype(np.int32)
 
-NAMES = ("a", "b", "start", "stop", "words")
 
+def chunks(text: Column, least: int, most: int, bits: int) -> Column:
+    """``a, b`` (digest), ``stop`` and ``words`` of the chunks, in order, as parallel arrays."""
 
-def chunks(text: Column, least: int, most: int, bits: int, names: tuple[str, ...] = NAMES) -> Column:
-    """``array<struct<...>>`` with the named parts of each chunk, in order."""
-    kept = [NAMES.index(n) for n in names]
-
-    @F.pandas_udf(", ".join(f"{n} array<long>" for n in names))
+    @F.pandas_udf("a array<long>, b array<long>, stop array<int>, words array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [chunked(t, least, most, bits) for t in texts]
-            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for n, k in zip(names, kept, strict=True)})
+            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(("a", "b", "stop", "words"))})
 
     return of(text)
 
 
+def _long_runs(stop: np.ndarray, words: np.ndarray, at: np.ndarray | None, kept: np.ndarray | None, run_words: int) -> tuple:
+    """From the places of the common chunks (and whether this row keeps them): what ``repeats`` returns of a row."""
+    n_chars = int(stop[-1]) if len(stop) else 0
+    if at is None or not len(at):
+        return 0, 0, n_chars, 0, [], []
+    order = np.argsort(at)
+    at, kept = at[order], kept[order]
+    run = np.cumsum(np.diff(at, prepend=at[0]) > 1)
+    size = np.bincount(run, words[at]).astype(np.int64)
+    shared = size[run] >= run_words
+    at, lost = at[shared], ~kept[shared]
+    stops = stop[at[lost]]
+    starts = np.where(at[lost] > 0, stop[at[lost] - 1], 0)
+    return int(len(at)), int(lost.sum()), n_chars - int((stops - starts).sum()), int(size.max()), starts.tolist(), stops.tolist()
+
+
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 16, most: int = 96, bits: int = 5, run_words: int = 28) -> DataFrame:
-    """``doc_id, n_shared, n_removed, chars_kept, longest_run_words, repeats, removed`` of each document."""
-    def exploded(names: tuple[str, ...]) -> DataFrame:
-        cut = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), chunks(F.col(text), least, most, bits, names).alias("c"))
-        zipped = F.arrays_zip(*(F.col(f"c.{n}").alias(n) for n in names))
-        return cut.select("doc_id", zipped.alias("c")).select("doc_id", F.posexplode("c").alias("at", "c")).select("doc_id", "at", "c.*")
-
-    shared = exploded(("a", "b")).groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("a", "b", "first")
-    hits = exploded(NAMES).join(shared, ["a", "b"])
-    hits = hits.select("doc_id", F.struct("at", *(F.col(n).cast("int").alias(n) for n in ("start", "stop", "words")), (F.col("first") != F.col("doc_id")).alias("removed")).alias("c"))
-    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("c")).alias("c"))
-    none = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
-
-    def step(a: Column, c: Column) -> Column:
-        run = F.when(c["at"] == a["at"] + 1, a["run"]).otherwise(0) + c["words"]
-        return F.struct(c["at"].alias("at"), run.alias("run"), F.greatest(a["longest"], run).alias("longest"))
-
-    found = found.select(F.col("doc_id").alias("id"), F.size("c").alias("n_shared"), F.aggregate("c", none, step, lambda a: a["longest"]).alias("run"), F.transform(F.filter("c", lambda c: c["removed"]), lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"))).alias("removed"))
-    all_docs = docs.select(F.col(doc_id).alias("doc_id"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("n_chars"))
-    run = F.coalesce("run", F.lit(0))
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,stop:int>>"))
-    lost = F.aggregate(removed, F.lit(0), lambda a, s: a + s["stop"] - s["start"])
-    return all_docs.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), F.size(removed).cast("long").alias("n_removed"), (F.col("n_chars") - lost).cast("long").alias("chars_kept"), run.cast("long").alias("longest_run_words"), (run >= run_words).alias("repeats"), removed.alias("removed"))
+    """``doc_id, n_shared, n_removed, chars_kept, longest_run_words, repeats, removed`` of each row.
+
+    ``n_shared`` and ``n_removed`` count chunks of long runs; ``longest_run_words`` is the longest run of common chunks.
+    """
+    cut = docs.select(F.col(doc_id).alias("doc_id"), chunks(F.col(text), least, most, bits).alias("c"))
+    cut = materialised(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "c.*"))
+    each = cut.select("row", "doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("at", "d")).select("row", "doc_id", "at", "d.a", "d.b")
+    order = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1))
+    common = each.groupBy("a", "b").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min_by("row", order).alias("keeper"))
+    common = common.where("lo != hi").select("a", "b", "keeper")
+    hits = salted_join(each.select("row", "at", "a", "b"), common, ["a", "b"])
+    found = hits.groupBy("row").agg(F.collect_list(F.struct("at", (F.col("row") == F.col("keeper")).alias("kept"))).alias("x"))
+    found = found.select(F.col("row").alias("of"), F.col("x.at").alias("at"), F.col("x.kept").alias("kept"))
+
+    @F.pandas_udf("n_shared long, n_removed long, chars_kept long, longest_run_words long, start array<int>, stop array<int>")
+    def judged(stop: pd.Series, words: pd.Series, at: pd.Series, kept: pd.Series) -> pd.DataFrame:
+        rows = [_long_runs(*r, run_words) for r in zip(stop, words, at, kept, strict=True)]
+        return pd.DataFrame(rows, columns=["n_shared", "n_removed", "chars_kept", "longest_run_words", "start", "stop"])
+
+    lengths = cut.select("row", "doc_id", "stop", "words").join(found, F.col("row") == F.col("of"), "left")
+    out = lengths.select("doc_id", judged("stop", "words", "at", "kept").alias("j")).select("doc_id", "j.*")
+    removed = F.arrays_zip(F.col("start"), F.col("stop")).cast("array<struct<start:int,stop:int>>").alias("removed")
+    return out.select("doc_id", "n_shared", "n_removed", "chars_kept", "longest_run_words", (F.col("n_shared") > 0).alias("repeats"), removed)
 
 
 def without(text: Column, removed: Column) -> Column:
     """The text without the removed stretches (ascending, apart)."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("out"))
-    return F.aggregate(removed, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    stops = F.concat(F.array(F.lit(0)), removed["stop"])
+    starts = F.concat(removed["start"], F.array(F.char_length(text)))
+    return F.array_join(F.zip_with(stops, starts, lambda a, b: F.substring(text, a + 1, b - a)), "")

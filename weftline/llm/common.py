@@ -53,11 +53,11 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str = "inner", salts: int = 8) -> DataFrame:
     """``many`` joined with ``one`` (each key once) so that a key with very many rows is dealt to ``salts`` tasks.
 
     The salt is a hash of the whole row: a task that runs again deals its rows as before.
     """
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
     each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(each, [key, "__salt"], how).drop("__salt")
+    return dealt.join(each, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")
