@@ -223,20 +223,21 @@ def _forest(a: GrayIndex, b: GrayIndex, ids_a: np.ndarray, ids_b: np.ndarray, ra
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _blocks(rows: DataFrame, columns: list[str], capacity: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(rows: DataFrame, columns: list[str], capacity: int, least: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` once for each of the fingerprint columns, as ``k, block, ...``; and the nodes of the blocks.
 
-    The bounds of the blocks are quantiles of the Gray rank: a few numbers for each ``capacity`` rows.
+    The bounds of the blocks are quantiles of the Gray rank: a few numbers for each ``capacity`` rows.  A few blocks there
+    are always (``least``), so that the work is dealt out and the rows that routing makes do not grow faster than the input.
     """
     n = rows.count()
-    blocks = max(1, -(-n // capacity))
+    blocks = max(least, -(-n // capacity))
 
     @F.pandas_udf("long")
     def rank(fp: pd.Series) -> pd.Series:
         return pd.Series(gray_rank(fp.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
     bounds = [np.zeros(0, np.int64)] * len(columns)
-    if blocks > 1:
+    if n and blocks > 1:
         at = [j / blocks for j in range(1, blocks)]
         got = rows.select(*(rank(c).alias(c) for c in columns)).agg(*(F.percentile_approx(c, at, max(10_000, 20 * blocks)).alias(c) for c in columns)).first()
         bounds = [np.unique(np.array(got[c], np.int64)) for c in columns]
@@ -246,7 +247,7 @@ def _blocks(rows: DataFrame, columns: list[str], capacity: int) -> tuple[DataFra
         places = [np.searchsorted(b, gray_rank(x.to_numpy(np.int64).view(np.uint64)).view(np.int64), "right") for x, b in zip(fps, bounds, strict=True)]
         return pd.Series(list(np.stack(places, 1).astype(np.int32)))
 
-    dealt = rows.withColumn("__at", placed(*columns) if blocks > 1 else F.array(*(F.lit(0) for _ in columns)))
+    dealt = rows.withColumn("__at", placed(*columns) if n and blocks > 1 else F.array(*(F.lit(0) for _ in columns)))
     dealt = materialised(dealt.select("*", F.posexplode("__at").alias("k", "block")).drop("__at"))
     word = F.element_at(F.array(*columns), F.col("k") + 1)
     nodes = dealt.groupBy("k", "block").agg(F.bit_and(word).alias("ones"), F.bit_or(word).alias("any"))
@@ -276,9 +277,9 @@ def _routes(nodes: DataFrame, allowed: np.ndarray) -> DataFrame:
     return nodes.select("k", F.col("block").alias("s"), F.explode(partners("k", "block", "ones", "any")).alias("t"))
 
 
-def _searched(rows: DataFrame, columns: list[str], allowed: np.ndarray, capacity: int, search: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _searched(rows: DataFrame, columns: list[str], allowed: np.ndarray, capacity: int, least: int, search: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``search(k, one block, the other)`` for each pair of blocks that is not ruled out, in a task of its own."""
-    dealt, nodes = _blocks(rows, columns, capacity)
+    dealt, nodes = _blocks(rows, columns, capacity, least)
     routes = materialised(_routes(nodes, allowed))
     one = dealt.withColumnRenamed("block", "s").join(routes, ["k", "s"]).withColumn("side", F.lit(0))
     two = dealt.withColumnRenamed("block", "t").join(routes.where("s != t"), ["k", "t"]).withColumn("side", F.lit(1))
@@ -291,7 +292,7 @@ def _searched(rows: DataFrame, columns: list[str], allowed: np.ndarray, capacity
     return one.unionByName(two).groupBy("k", "s", "t").applyInPandas(task, schema)
 
 
-def hamming_links(fps: DataFrame, radius: int = 4, capacity: int = 1 << 15) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = 4, capacity: int = 1 << 20) -> DataFrame:
     """``a, b``: links that join all distinct values of ``fp`` within ``radius`` of one another."""
 
     def search(k: int, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -301,7 +302,7 @@ def hamming_links(fps: DataFrame, radius: int = 4, capacity: int = 1 << 15) -> D
         p, q = _forest(a, b, x, y, radius)
         return pd.DataFrame({"a": p, "b": q})
 
-    return _searched(fps.select("fp"), ["fp"], exactly(radius), capacity, search, "a long, b long")
+    return _searched(fps.select("fp"), ["fp"], exactly(radius), capacity, 16, search, "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -323,7 +324,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, capacity: int = 1 << 15) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, capacity: int = 1 << 20) -> DataFrame:
     """``doc_id, fp (long), component_id`` of each document."""
     marked = materialised(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), size).alias("fp")))
     fps = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -411,7 +412,7 @@ def _candidates(items: DataFrame, permille: int, capacity: int, nearest: bool) -
         return pd.DataFrame({"a": np.minimum(row[0][p], row[1][q]), "b": np.maximum(row[0][p], row[1][q])})
 
     rows = items.select("row", "root", "n", *names)
-    return _searched(rows, names, allowed, capacity, search, "a long, b long").distinct()
+    return _searched(rows, names, allowed, capacity, 4, search, "a long, b long").distinct()
 
 
 def _nearest(found: np.ndarray, same: bool) -> np.ndarray:
