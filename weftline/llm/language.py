@@ -1,10 +1,11 @@
 """Language ID by compression: one zstandard raw-content dictionary per language, the smallest encoding wins.
 
-The dictionaries are learnt from labelled training documents: per language at most ``sample_docs`` of them (those with
-the smallest hash of their text, equal texts once), each giving at most ``sample_chars`` characters from its middle, up
-to ``dictionary_bytes`` in all.  These bounds are parameters of the fit; prediction reads every whole text, in blocks of
-``block_bytes`` so that the dictionary, not the text's own past, decides.  Texts are lower-cased and what is no letter
-becomes single blanks.
+The dictionaries are learnt from labelled training documents: of each language whole texts in the order of their hashes
+(equal texts once), as many as fit into ``dictionary_bytes``, the one bound of the fit; longer texts are passed over.
+Candidates are chosen by the share of a language's bytes that the bound is, so no language is sorted.  A dictionary for
+each language is sent to all tasks, at most ``most_languages`` (more raise an error).  Prediction reads every whole
+text, in blocks of ``block_bytes`` so that the dictionary, not the text's own past, decides.  Texts are lower-cased and
+what is no letter becomes single blanks.
 
 The score of a text is the softmax of minus its bits per byte, sharpened by ``sharpness``.  ``rejected`` is true where
 the best two languages are closer than ``margin`` (a share of the best size): the prediction stands, but is not sure.
@@ -60,18 +61,23 @@ def judge(c: Compressors, text: str | None, block: int, margin: float, sharpness
     return c.languages[best], float(round(1 / odds.sum(), 6)), round(gap, 6), gap < margin
 
 
-def learn(train: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 400, sample_chars: int = 2_000, dictionary_bytes: int = 110_000) -> dict[str, bytes]:
-    """The dictionary of each language; the rows that reach the driver are bounded by the parameters."""
+def learn(train: DataFrame, *, text: str = "text", lang: str = "lang", dictionary_bytes: int = 160_000, most_languages: int = 500) -> dict[str, bytes]:
+    """The dictionary of each language."""
     t = F.col(text)
-    rows = train.where(t.isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), t.alias("text"), F.xxhash64(t).alias("h"))
-    # the smallest hashes of each of 64 parts of a language: ranks are limited before rows are shuffled
-    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
-    first = rows.select("lang", "h").withColumn("at", F.dense_rank().over(part)).where(F.col("at") <= -(-sample_docs // 64)).distinct()
-    middle = F.substring(t, F.greatest((F.char_length(t) - sample_chars) / 2, F.lit(0)).cast("int") + 1, F.lit(sample_chars))
-    pieces = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "at", "h").agg(F.min(middle).alias("piece"))
+    rows = train.where(t.isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), t.alias("text"), F.octet_length(t).alias("size"), F.xxhash64(t).alias("h"))
+    rows = rows.where(F.col("size").between(1, dictionary_bytes))
+    totals = rows.groupBy("lang").agg(F.sum("size").alias("all")).limit(most_languages + 1).toPandas()
+    if len(totals) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    # twice the share that the bound is of all bytes: copies count once below, and what does not fit is left out
+    shares = train.sparkSession.createDataFrame([(k, min(1.0, (2 * dictionary_bytes + 200_000) / n)) for k, n in zip(totals["lang"], totals["all"].tolist(), strict=True)], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("size").alias("size"), F.min("text").alias("text"))
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    kept = drawn.withColumn("so_far", so_far).where(F.col("so_far") <= dictionary_bytes)
     out: dict[str, bytes] = {}
-    for r in pieces.orderBy("lang", "at", "h").select("lang", "piece").collect():
-        out[r["lang"]] = (out.get(r["lang"], b"") + plain(r["piece"]).encode())[:dictionary_bytes]
+    for r in kept.orderBy("lang", "h").select("lang", "text").collect():
+        out[r["lang"]] = out.get(r["lang"], b"") + plain(r["text"]).encode() + b" "
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
