@@ -8,7 +8,8 @@ Training reads at most ``sample_docs`` labelled documents (half for either label
 their ids; equal texts once).  They are dealt to ``shards`` shards.  In each round a shard runs FTRL, with per-coordinate
 rates and L1 sparsity, over its documents in order of their hash, in a task of its own, from the common state on; what
 the shards added to the state (z and n are sums) is added up for the next round.  The first round learns from whole
-texts, later ones from the window that scores highest so far.  The weights that L1 leaves are broadcast.
+texts, later ones from the window that scores highest so far.  The weights that L1 leaves are broadcast.  One more shard is not learnt from: slope and shift of the log odds are fitted to
+its labels, so that a score is a probability for texts that the model has not seen.
 
 Defined results: texts without words (null, empty) get the bias alone; with no labels, or labels of one kind only, all
 scores are 0 and nothing is predicted toxic; rows with a null label or text are not learnt from.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialised
 
 WORD = re.compile(r"\w+")
+MICRO = 1_000_000
 
 
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ class Ftrl:
         self.n[k] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 6_000, shards: int = 4, rounds: int = 5, window: int = 24, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 6_000, shards: int = 4, rounds: int = 8, window: int = 24, bits: int = 20, alpha: float = 0.5, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with a weight, their weights, and the bias.
 
     The labelled ids are chosen first and their texts looked up by a broadcast of these ids: no text is shuffled but
@@ -83,8 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     halves = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_docs // 2) for y in (0, 1)]
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.xxhash64(F.col(text)).alias("h")).where(F.col("body").isNotNull())
     sample = rows.join(F.broadcast(halves[0].unionByName(halves[1])), "id").groupBy("h", "y").agg(F.min("body").alias("body"))
-    dealt = sample.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    dealt = materialised(dealt.repartition(shards, "shard"))
+    dealt = sample.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards + 1)))
+    dealt = materialised(dealt.repartition(shards + 1, "shard"))
     if dealt.select("y").distinct().count() < 2:
         return np.zeros(0, np.int64), np.zeros(0), float("-inf")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
@@ -103,19 +105,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                     at = int(np.argmax(window_sums(grams, w0, window))) * (window // 2)
                     grams = tuple(x[at : max(at, at + window - lag)] for lag, x in enumerate(grams))
                 k, count = np.unique(np.concatenate(grams).astype(np.int64), return_counts=True)
-                m.learn(np.append(k, 1 << bits), np.append(np.minimum(count, 3), 1).astype(float), y)
+                count = count if turn else np.ones(len(k))  # noqa: B023
+                m.learn(np.append(k, 1 << bits), np.append(count, 1.0), y)
             k = np.flatnonzero(m.n != n0)
-            return pd.DataFrame({"k": k, "z": m.z[k] - z0[k], "n": m.n[k] - n0[k]})
+            whole = lambda x: np.rint(x * MICRO).astype(np.int64)
+            return pd.DataFrame({"k": k, "z": whole(m.z[k] - z0[k]), "n": whole(m.n[k] - n0[k])})
 
-        added = dealt.groupBy("shard").applyInPandas(trained, "k long, z double, n double")
-        got = added.groupBy("k").agg(F.sum(F.round("z", 9)).alias("z"), F.sum(F.round("n", 9)).alias("n")).toArrow()
+        added = dealt.where(F.col("shard") < shards).groupBy("shard").applyInPandas(trained, "k long, z long, n long")
+        got = added.groupBy("k").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         shared.destroy()  # its copies on the executors' disks go before the next round makes more
         k = got["k"].to_numpy()
-        z[k] += got["z"].to_numpy()
-        n[k] += got["n"].to_numpy()
+        z[k] += got["z"].to_numpy() / MICRO
+        n[k] += got["n"].to_numpy() / MICRO
     w = Ftrl(z, n, alpha, beta, l1, l2).weights()
     k = np.flatnonzero(w[:-1])
-    return k, w[k], float(w[-1])
+    model = k, w[k], float(w[-1])
+    told = dealt.where(F.col("shard") == shards).select("y", scores(F.col("body"), model, docs.sparkSession, window=window, bits=bits).alias("p")).toPandas()
+    slope, shift = calibrated(told["p"].to_numpy(), told["y"].to_numpy(float))
+    return k, w[k] * slope, float(w[-1]) * slope + shift
+
+
+def calibrated(p: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
+    """Slope and shift of the log odds that make scores of documents not learnt from match their labels."""
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    x = np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1)
+    at = np.array([1.0, 0.0])
+    if len(set(y.tolist())) < 2:
+        return 1.0, 0.0
+    for _ in range(steps):  # Newton's method; a prior of unit weight holds it near slope 1, shift 0
+        q = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        at = at + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), x.T @ (y - q) - (at - [1.0, 0.0]))
+    return max(float(at[0]), 0.1), float(at[1])
 
 
 def scores(text: Column, model: tuple[np.ndarray, np.ndarray, float], spark, *, window: int = 24, bits: int = 20) -> Column:
