@@ -84,12 +84,12 @@ def test_quality_prefers_the_target(spark):
     assert score[1] > -0.05 > score[0]
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 60])
-def test_decontamination(spark, docs, texts, slice_bytes):
+@pytest.mark.parametrize("slice_windows", [1 << 20, 12])
+def test_decontamination(spark, docs, texts, slice_windows):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     fold = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     items = [(1, " ".join(fold(texts[15])[3:17])), (2, "ONE"), (3, None), (4, " ".join(fold(texts[20]))), (5, ""), (1, "one two")]
-    got = decontaminate.benchmark_hits(docs.where("doc_id is not null"), spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes).collect()
+    got = decontaminate.benchmark_hits(docs.where("doc_id is not null"), spark.createDataFrame(items, "item_id long, text string"), slice_windows=slice_windows).collect()
     assert len(got) == len(texts) - 1
     for r in got:
         w, hit, ids = fold(texts[r.doc_id]), set(), set()
@@ -108,8 +108,10 @@ def test_decontamination_judges_each_row_alone_with_slices_too(spark):
     rows = [(None, "one two three"), (None, "nothing here"), (None, "four five"), (7, "one two"), (7, "four five six"), (7, "clean"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     items = spark.createDataFrame([(1, "one two"), (2, "four five"), (2, "four five"), (3, "six")], "item_id long, text string")
-    sliced, whole = (sorted((tuple(map(str, r)) for r in decontaminate.benchmark_hits(df, items, slice_bytes=b).collect())) for b in (8, 1 << 20))
+    sliced, whole = (sorted((tuple(map(str, r)) for r in decontaminate.benchmark_hits(df, items, slice_windows=b).collect())) for b in (1, 1 << 20))
     assert len(sliced) == len(rows) and sliced == whole
+    kept = [decontaminate.without_contaminated(df, items, slice_windows=b).collect() for b in (1, 1 << 20)]
+    assert sorted(map(repr, kept[0])) == sorted(map(repr, kept[1])) and len(kept[0]) == 3
     assert [r[:4] for r in sliced if r[0] == "7"] == [("7", "1", "0", "0"), ("7", "2", "2", "1"), ("7", "3", "3", "2")]
 
 
@@ -197,11 +199,31 @@ def test_chunks_find_shared_passages(spark):
     body = lambda n: " ".join(word() for _ in range(n))
     rows = [(k, f"{body(30 + k)} {passage} {body(20)}" if k < 5 else body(80)) for k in range(20)] + [(20, None), (21, ""), (None, passage), (22, "é" * 5_000)]
     got = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [k for k, r in got.items() if r.repeats and k is not None and k < 20] and {k for k, r in got.items() if r.repeats} == set(range(5))
+    assert [k for k, r in got.items() if r.repeats and k is not None and k < 20] and {k for k, r in got.items() if r.repeats} == {*range(5), None}
     assert got[0].n_removed == 0 and got[1].n_removed > 0 and len(got) == len(rows)
     t = dict(rows)[1]
     cut = spark.createDataFrame([(t, got[1].removed)], "t string, r array<struct<start:int,stop:int>>").select(chunks.without(F.col("t"), F.col("r"))).first()[0]
-    assert len(cut) == got[1].chars_kept
+    assert len(cut) == got[1].chars_kept and passage[40:-100] not in cut
+    twice = [(1, passage), (1, "too short"), (1, passage), (2, f"{body(30)} {passage}"), (3, " ".join(passage.split()[:20]))]
+    got = sorted((r.doc_id, r.n_shared > 0, r.n_removed > 0, r.chars_kept) for r in chunks.repeats(spark.createDataFrame(twice, "doc_id long, text string").repartition(3)).collect())
+    assert [g[:3] for g in got] == [(1, False, False), (1, True, False), (1, True, True), (2, True, True), (3, False, False)]
+    assert got[0][3] == 9 and got[1][3] == len(passage) and got[2][3] < 100  # each row by its own text
+
+
+def test_chunks_recall_and_precision(spark):
+    """Held against all windows of 51 words: planted passages are found, short shared phrases and clean texts are left alone."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randint(2, 9)))
+    body = lambda n: [word() for _ in range(n)]
+    passages, phrases = [body(rnd.randint(51, 70)) for _ in range(40)], [body(12) for _ in range(10)]
+    rows = []
+    for k in range(400):
+        w = body(rnd.randint(60, 300))
+        at = rnd.randrange(len(w))
+        w[at:at] = passages[k % 40] if k < 160 else phrases[k % 10] if k < 280 else []
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id for r in chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.repeats}
+    assert len(got & set(range(160))) >= 158 and not got - set(range(160))
 
 
 def test_language(spark):
@@ -240,7 +262,8 @@ def test_toxicity_learns_with_all_rounds_and_bits_from_sparse_state(spark, monke
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or put(self, value))
     df = spark.createDataFrame([(k, f"{'nasty' if k % 2 else 'kind'} word{k % 5} text", k % 2) for k in range(40)], "doc_id long, text string, toxic int")
     toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
-    assert len(sent) == 5 and all(len(x) == 3 for x in sent)
+    assert len(sent) == 9 and all(len(x) == 3 for x in sent)  # eight rounds, and the model for its calibration
+    sent.pop()
     assert len(sent[0][0]) == 0 and 0 < len(sent[-1][0]) < 100 and all(np.all(n > 0) for _, _, n in sent)
     assert max(int(k.max()) for k, _, _ in sent[1:]) == 1 << 20  # the bias
     assert inspect.signature(toxicity.fit).parameters["sample_docs"].default == 6_000

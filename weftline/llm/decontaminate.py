@@ -6,9 +6,11 @@ since blanks bound it.  ``WindowSearch`` keeps for windows of similar length: a
 far the search may move on, buckets of windows by the last block of their shortest common length, and compares windows
 of the bucket byte for byte.
 
-The benchmark is cut into slices of at most ``slice_bytes`` of text.  Each slice's windows are broadcast and all
-documents searched for them; with more than one slice the findings of a row are merged by a key of the row.  Nothing that
-grows with the documents leaves the executors.
+The windows are a table, each once with the ids of its items, made on the executors and written to the shared folder.
+They are cut by hash into slices of about ``slice_windows`` windows, however large the benchmark or one of its items is.
+One slice at a time is read, broadcast and searched for in all documents, and given up before the next: driver and
+workers hold one slice (some 300 bytes a window), and documents are read once for each slice.  The findings of several
+slices are written, and merged by a key of the row.
 
 Defined results: a null text or item has no words; an item without words has no windows; a document without words is
 clean; of items with a null id no id is listed, though their windows count as hits; items with the same id count as one.
@@ -17,7 +19,8 @@ Each row is judged alone, whatever its id and however many slices there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,13 +106,23 @@ class WindowSearch:
         return body.count(b" ") - 1, spans, sorted(items)
 
 
-def windows_of(items: list[tuple[str | None, str | None]], size: int) -> dict[bytes, tuple[str, ...]]:
-    out: dict[bytes, set[str]] = {}
-    for item_id, text in items:
-        words = folded(text).split()
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            out.setdefault(b" " + b" ".join(words[k : k + size]) + b" ", set()).update([item_id] if item_id is not None else [])
-    return {w: tuple(sorted(ids)) for w, ids in out.items()}
+def windows_of(text: str | None, size: int) -> list[bytes]:
+    words = folded(text).split()
+    return list({b" " + b" ".join(words[k : k + size]) + b" " for k in range(max(1, len(words) - size + 1) if words else 0)})
+
+
+def windows(benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_windows: int = 200_000) -> tuple[DataFrame, int]:
+    """``w`` (bytes), ``items`` (sorted ids as text) and ``slice`` of each distinct window, and the number of slices."""
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([windows_of(t, size) for t in texts], dtype=object)
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).distinct()
+    each = items.select("item", F.explode(cut("body")).alias("w")).groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    table = materialised(each)
+    slices = max(1, -(-table.count() // slice_windows))
+    return table.withColumn("slice", F.pmod(F.xxhash64("w"), F.lit(slices))), slices
 
 
 def _finder(search) -> Column:
@@ -123,43 +136,55 @@ def _finder(search) -> Column:
     return find
 
 
-def _searches(benchmark: DataFrame, item_id: str, item_text: str, size: int, slice_bytes: int) -> list:
-    """A broadcast search for each slice of the benchmark."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-total // slice_bytes))
-    parts = [items.where(F.pmod(F.xxhash64("item", "body"), F.lit(slices)) == k) if slices > 1 else items for k in range(slices)]
-    return [benchmark.sparkSession.sparkContext.broadcast(WindowSearch(windows_of([tuple(r) for r in part.collect()], size))) for part in parts]
+def _search(table: DataFrame, k: int):
+    """A broadcast search for the windows of one slice."""
+    found = table.where(F.col("slice") == k).select("w", "items").collect()
+    return table.sparkSession.sparkContext.broadcast(WindowSearch({bytes(r["w"]): tuple(r["items"]) for r in found}))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, each judged alone."""
-    for search in _searches(benchmark, item_id, item_text, size, slice_bytes):
+    table, slices = windows(benchmark, item_id=item_id, item_text=item_text, size=size, slice_windows=slice_windows)
+    for k in range(slices):
+        search = _search(table, k)
         docs = docs.where(F.size(_finder(search)(F.col(text))["spans"]) == 0)
+        if slices > 1:
+            docs = materialised(docs)
+            search.destroy()
     return docs
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, slice_windows: int = 200_000) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items (sorted), spans (hit words, start and end in turn)`` of each document."""
     each = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    searches = _searches(benchmark, item_id, item_text, size, slice_bytes)
-    if len(searches) > 1:  # the key must be the same for each slice
-        each = materialised(each.withColumn("row", F.monotonically_increasing_id()))
-    keys = each.columns[:1] + each.columns[2:]
-    found = [each.select(*keys, _finder(search)("body").alias("f")).select(*keys, "f.*") for search in searches]
-    if len(found) == 1:
-        merged = found[0]
+    table, slices = windows(benchmark, item_id=item_id, item_text=item_text, size=size, slice_windows=slice_windows)
+    if slices == 1:
+        merged = each.select("doc_id", _finder(_search(table, 0))("body").alias("f")).select("doc_id", "f.*")
     else:
-        union = found[0]
-        for x in found[1:]:
-            union = union.unionByName(x)
-        pairs = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b")))))
-        union = union.withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")))
-        merged = union.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(pairs).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        step = lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["b"]))),
-        ).otherwise(F.concat(acc, F.array(x["a"], x["b"])))
-        merged = merged.select("doc_id", "n_words", F.aggregate("p", F.array().cast("array<long>"), step).alias("spans"), "items")
+        each = materialised(each.withColumn("row", F.monotonically_increasing_id()))  # the key must be the same for each slice
+        parts = []
+        for k in range(slices):
+            search = _search(table, k)
+            parts.append(materialised(each.select("row", "doc_id", _finder(search)("body").alias("f")).select("row", "doc_id", "f.*")))
+            search.destroy()
+        union = reduce(DataFrame.unionByName, parts)
+        lists = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+        @F.pandas_udf("array<long>")
+        def joined(rows: pd.Series) -> pd.Series:
+            return pd.Series([merged_spans(r) for r in rows], dtype=object)
+
+        merged = lists.select("doc_id", "n_words", joined("s").alias("spans"), "items")
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+
+
+def merged_spans(lists: Iterable[Iterable[int]]) -> list[int]:
+    """Stretches (start, end, start, end, ...) of several lists as one; those that touch become one."""
+    out: list[int] = []
+    for a, b in sorted((int(x[k]), int(x[k + 1])) for x in lists for k in range(0, len(x), 2)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
