@@ -75,13 +75,27 @@ def test_quality_counts(docs, spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_quality_prefers_the_target(spark):
-    good, bad = "the quick brown fox runs over hills", "%%% ||| zzz$$$ ###"
-    rows = [(k, f"{good if k % 2 else bad} w{k % 7} " * 3) for k in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, 1) for k in range(1, 100, 2)], "doc_id long, quality int")
-    score = {r.doc_id % 2: r.s for r in quality.judged(df, labels, prefix="").groupBy("doc_id").agg(F.max("score").alias("s")).collect()}
-    assert score[1] > -0.05 > score[0]
+def test_quality_by_language_with_held_out_thresholds(spark):
+    """Two languages, one with few documents: junk goes, and of good documents that were held out nearly all stay."""
+    rnd = random.Random(8)
+    vocabulary = {"aa": ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(150)], "bb": ["".join(rnd.choice("mnopqrst") for _ in range(5)) for _ in range(150)]}
+    junk = ["%%%", "|||", "$1", "zzz", "###", "click", "buy"]
+    rows, labels = [], []
+    for k in range(900):
+        lang, bad = "bb" if k % 7 == 0 else "aa", k % 5 == 0
+        rows.append((k, " ".join(rnd.choice(junk if bad and rnd.random() < 0.6 else vocabulary[lang]) for _ in range(80)), lang))
+        labels += [(k, int(not bad))] if k % 2 else []
+    rows += [(900, rows[1][1], None), (901, rows[1][1], "cc"), (902, None, "aa"), (None, rows[1][1], "aa")]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judged(df, known, prefix="").collect()}
+    assert len(got) == len(rows)
+    for lang in ("aa", "bb"):
+        bad = [got[k].kept for k in range(0, 900, 5) if rows[k][2] == lang and not got[k].base_failed]
+        good = [got[k].kept for k in range(900) if k % 5 and rows[k][2] == lang and not got[k].base_failed]
+        assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.9 * len(good)
+    assert got[None].kept and not got[902].kept and got[902].score == 0
+    alone = quality.judged(df.drop("lang"), known.where("false"), prefix="").where("not base_failed")
+    assert alone.where("not kept or score != 0").isEmpty()
 
 
 @pytest.mark.parametrize("slice_windows", [1 << 20, 12])

@@ -29,9 +29,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = quality.judged(docs, table(spark, sf_dir, "labels"), prefix="")
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    df = quality.judged(docs, table(spark, sf_dir, "labels"), prefix="q_")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+    return df.select("doc_id", *(F.col(f"q_{n}").alias(n) for n in names))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
