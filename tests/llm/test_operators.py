@@ -141,6 +141,13 @@ def test_pii_spans(spark):
     assert [s.text for s in rows[1].pii_card] == ["4111 1111 1111 1111"]
     assert [(s.kind, s.start) for s in rows[3].pii_spans] == [("iban", 2)]
     assert len(rows[4].pii_ssn) == 2 and not rows[5].pii_spans and not rows[7].pii_email
+    more = ["account DE89 3704 0044 0532 0130 00, version DE89370400440532013000", "number DE89370400440532013000", "x 1.2.3.4, " * 900 + "4111 1111 1111 1111", "ssn 123-45-6789", "order 123-45-6789"]
+    judged = pii.personal_data(spark.createDataFrame([(k, x) for k, x in enumerate(more)], "doc_id long, text string"))
+    far = judged.select("pii_spans", pii.redacted(F.col("text"), F.col("pii_spans")).alias("t")).collect()
+    assert [(s.kind, s.start, s.stop, s.score) for s in far[0].pii_spans] == [("iban", 8, 35, 0.95)]  # context decides: the second is a version
+    assert [(s.kind, s.score) for s in far[1].pii_spans] == [("iban", 0.6)]
+    assert [(s.start, s.stop) for s in far[2].pii_spans if s.kind == "ip"] == [(11 * k + 2, 11 * k + 9) for k in range(900)]
+    assert far[2].t == "x [ip], " * 900 + "[card]" and [len(r.pii_spans) for r in far[3:]] == [1, 0]
     hidden = pii.personal_data(spark.createDataFrame([(0, t[0])], "doc_id long, text string")).select(pii.redacted(F.col("text"), F.col("pii_spans"))).first()[0]
     assert hidden == "mail [email][email], [ip].[ip] 999.1.1.1"
 

@@ -5,14 +5,16 @@ Base kinds (email, ip, card, phone) are found by their patterns and tests alone.
 =======  ==========================================  ===========================================
 kind     pattern                                     confirmed by
 =======  ==========================================  ===========================================
-iban     two capitals, two digits, 11 to 30 more     mod 97 leaves 1
+iban     two capitals, two digits, 11 to 30 more,    mod 97 leaves 1, and no word against it
+         together or in groups of four
 ssn      ddd-dd-dddd                                 number ranges, and a context word
 =======  ==========================================  ===========================================
 
 The score of a span starts at its kind's prior, rises if a context word stands within ``window`` characters before it
 and falls if a word of the opposite sense does; kinds beyond the base ones are kept from ``least`` on.
 
-Defined results: a null text counts as empty, which holds nothing; repeated rows are judged alike.
+Defined results: a null text counts as empty, which holds nothing; repeated rows are judged alike; columns of the input
+that bear the name of a new one give way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spans import digits, kinds_in_order, luhn, mod97, run_start, sound, spans
+from weftline.llm.spans import digits, in_blocks, kinds_in_order, luhn, mod97, once, run_start, sound, spans
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn")
@@ -30,12 +32,12 @@ LOCAL = "A-Za-z0-9._%+-"
 PATTERN = {
     "email": rf"{run_start(LOCAL)}[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"{run_start('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"[0-9](?:[ -]?[0-9]){13,}+",  # runs of fewer digits fail the test anyway
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.6, "ssn": 0.3}
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "ip|address|host|server",
@@ -56,7 +58,7 @@ def _sound(kind: str, s: Column) -> Column:
         n = F.char_length(digits(text))
         return F.when((n < least) | (n > most), False).otherwise(luhn(digits(text)) if kind == "card" else F.lit(True))
     if kind == "iban":
-        return mod97(text) == 1
+        return mod97(F.translate(text, " ", "")) == 1
     if kind == "ssn":
         return ~text.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -67,8 +69,8 @@ def _likely(kind: str, text: Column) -> Column:
         "email": text.contains("@"),
         "phone": text.contains("+"),
         "ip": text.rlike(r"[0-9]\.[0-9]"),
-        "card": text.rlike("[0-9][ -]?[0-9]"),
-        "iban": text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
+        "card": text.rlike("[0-9](?:[ -]?[0-9]){13}"),
+        "iban": text.rlike("[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11}| [A-Z0-9]{4} )"),
         "ssn": text.rlike("-[0-9]{2}-"),
     }[kind]
 
@@ -86,7 +88,7 @@ def _scored(kind: str, text: Column, found: Column, window: int) -> Column:
 def personal_data(docs: DataFrame, *, text: str = "text", prefix: str = "pii_", window: int = 40, least: float = 0.5) -> DataFrame:
     """``docs`` with ``<prefix>`` columns: one array per kind (start, stop, text, score), and base and spans.
 
-    ``base`` has the base kinds' spans and ``spans`` all, as arrays of kind, start, stop, text in order of start.
+    ``base`` has the base kinds' spans and ``spans`` all, as arrays of kind, start, stop, text, score in order of start.
     """
     p = lambda kind: f"{prefix}{kind}"
     body = p("body")
@@ -95,7 +97,7 @@ def personal_data(docs: DataFrame, *, text: str = "text", prefix: str = "pii_",
     df = df.withColumns({p(k): spans(t, PATTERN[k], _likely(k, t)) for k in (*BASE, *EXTRA)})
     df = df.withColumns({p(k): F.when(F.size(p(k)) > 0, _scored(k, t, sound(F.col(p(k)), partial(_sound, k)), window)).otherwise(no_spans_scored()) for k in (*BASE, *EXTRA)})
     df = df.withColumns({p(k): F.filter(p(k), lambda s: s["score"] >= least) for k in EXTRA})
-    named = lambda kinds: kinds_in_order({k: F.col(p(k)) for k in kinds})
+    named = lambda kinds: kinds_in_order({k: F.col(p(k)) for k in kinds}, ("score",))
     return df.withColumns({p("base"): named(BASE), p("spans"): named((*BASE, *EXTRA))}).drop(body)
 
 
@@ -104,17 +106,30 @@ def no_spans_scored() -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of spans that overlap, one covers all."""
+    """The text with each span replaced by its kind in brackets; of spans that overlap, one covers all.
+
+    A span's own part of the result is what stands between the furthest end before it and its start, and its kind; the
+    furthest ends are carried through blocks of spans, so the work grows with their number and not with its square.
+    """
     t = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = lambda a, b: F.substring(t, a + 1, b - a)
+    part = "struct<a:int,b:int,kind:string>"
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.array(F.struct(acc["at"].alias("a"), s["start"].alias("b"), s["kind"].alias("kind")))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    def block(at: Column, spans: Column) -> Column:
+        return F.aggregate(spans, F.struct(at.alias("at"), F.array().cast(f"array<{part}>").alias("out")), step)
+
+    def written(r: Column) -> Column:
+        return F.array_join(F.transform(r["out"], lambda x: F.concat(F.substring(t, x["a"] + 1, x["b"] - x["a"]), F.lit("["), x["kind"], F.lit("]"))), "")
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     walked = F.aggregate(
-        found,
+        in_blocks(found),
         start,
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], cut(a["at"], s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))),
+        lambda acc, spans: once(block(acc["at"], spans), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(written(r))).alias("out"))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.char_length(t))),
     )
     return F.when(F.size(found) > 0, walked).otherwise(text)

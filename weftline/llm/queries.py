@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import chunks, decontaminate, language, pieces, pii, quality, secret_scan, simhash, spans, toxicity, urls
@@ -40,15 +40,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined("items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _counted(docs: DataFrame, kinds: tuple[str, ...], prefix: str) -> DataFrame:
+def _counted(docs: DataFrame, kinds: tuple[str, ...], prefix: str, *more: Column) -> DataFrame:
     """How many spans of each base kind, the digest of the base spans and all spans."""
     counts = [F.size(f"{prefix}{k}").cast("long").alias(f"n_{k}") for k in kinds]
-    return docs.select("doc_id", *counts, F.sha2(spans.said(F.col(f"{prefix}base")), 256).alias("base_sha256"), spans.said(F.col(f"{prefix}spans")).alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(spans.said(F.col(f"{prefix}base")), 256).alias("base_sha256"), spans.said(F.col(f"{prefix}spans")).alias("spans"), *more)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _counted(pii.personal_data(docs), pii.BASE, "pii_")
+    return _counted(pii.personal_data(docs), pii.BASE, "pii_", joined(F.transform("pii_spans.score", lambda s: s.cast("string"))).alias("scores"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,20 +31,37 @@ def spans(text: Column, pattern: str, likely: Column | None = None) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
     # x: length of the gap before the match, and the match
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    nothing = no_spans()
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        stop = start + F.char_length(x["m"])
+        return F.struct(stop.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text")))).alias("out"))
+
+    def block(at: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), nothing.alias("out")), step)
+
     walked = F.aggregate(
-        pairs,
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.char_length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.char_length(x["m"])).alias("stop"), x["m"].alias("text")))).alias("out"),
-        ),
-        lambda a: a["out"],
+        in_blocks(pairs),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")),
+        lambda a, part: once(block(a["at"], part), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out"))),
+        lambda a: F.flatten(a["out"]),
     )
     test = text.rlike(pattern) if likely is None else likely & text.rlike(pattern)
-    return F.when(test, walked).otherwise(no_spans())
+    return F.when(test, walked).otherwise(nothing)
+
+
+def in_blocks(items: Column, size: int = 256) -> Column:
+    """An array in blocks: a fold that appends copies what it has so far, so it goes over blocks, each with its own fold."""
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * size + 1, size))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def digits(text: Column) -> Column:
@@ -70,13 +87,13 @@ def sound(found: Column, test) -> Column:
     return F.filter(found, lambda s: test(s))
 
 
-def _ranked(found: Column, rank: int, kind: str) -> Column:
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["text"].alias("text")))
+def _ranked(found: Column, rank: int, kind: str, more: tuple[str, ...]) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["text"].alias("text"), *(s[m].alias(m) for m in more)))
 
 
-def kinds_in_order(by_kind: dict[str, Column]) -> Column:
-    """Spans of several kinds as one array of ``kind, start, stop, text``, by start, then as the kinds are listed."""
-    return F.array_sort(F.concat(*(_ranked(v, k, n) for k, (n, v) in enumerate(by_kind.items()))))
+def kinds_in_order(by_kind: dict[str, Column], more: tuple[str, ...] = ()) -> Column:
+    """Spans of several kinds as one array of ``kind, start, stop, text`` and ``more``, by start, then as the kinds are listed."""
+    return F.array_sort(F.concat(*(_ranked(v, k, n, more) for k, (n, v) in enumerate(by_kind.items()))))
 
 
 def said(found: Column) -> Column:
