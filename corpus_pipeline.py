@@ -40,9 +40,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text."""
+    """The pieces of each text, and the text that they decode to."""
     ids = docs.select("doc_id", "lang", "source", pieces.encode_ids(F.col("text"), piece_model()).alias("ids"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.decode_ids(F.col("ids"), piece_model()).alias("text"))
 
 
 STAGES = [
