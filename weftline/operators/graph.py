@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.tables import materialised
 
 
-def distance(start: DataFrame, edges: DataFrame, depth: int, *, key: list[str] | None = None, cut: bool = False) -> DataFrame:
-    """``[key...], node, depth``: the least number of edges from the start to each node, up to ``depth``.
+def distance(start: DataFrame, edges: DataFrame, depth: int | None, *, key: list[str] | None = None, cut: bool = False, through: Column | None = None) -> DataFrame:
+    """``[key...], node, depth``: the least number of edges from the start to each node, up to ``depth`` (None: no bound).
 
     ``start`` has the key columns and ``node``.  With no key the start is one set: each node is visited once, however
     many starts reach it.  A level is expanded only from nodes that no earlier level holds.  ``cut`` writes each level
-    to the shared folder; use it for deep or cyclic graphs, where the plan would grow.
+    to the shared folder and ends once a level is empty; deep or cyclic graphs need it, where the plan would grow, and
+    without a bound it is always done.  ``through``, a test of ``node``: nodes that fail are neither returned nor
+    expanded (starts are).
     """
     key = key or []
     at = [*key, "node"]
-    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    cut = cut or depth is None
+    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     seen = front = start.select(*at).distinct().withColumn("depth", F.lit(0))
-    for level in range(1, depth + 1):
-        front = front.join(hop, "node").select(*key, F.col("next").alias("node")).distinct().join(seen, at, "left_anti").withColumn("depth", F.lit(level))
+    level = 0
+    while depth is None or level < depth:
+        level += 1
+        step = front.join(hop, "node").select(*key, F.col("next").alias("node"))
+        step = step if through is None else step.where(through)
+        front = step.distinct().join(seen, at, "left_anti").withColumn("depth", F.lit(level))
         if cut:
             front = materialised(front)
             if front.isEmpty():
@@ -29,11 +36,42 @@ def distance(start: DataFrame, edges: DataFrame, depth: int, *, key: list[str] |
     return seen
 
 
+def collected(start: DataFrame, calls: DataFrame, uses: DataFrame, depth: int, *, key: list[str]) -> DataFrame:
+    """``key..., dst, depth``: targets of ``uses`` at every node within ``depth`` calls, those at the last level included."""
+    near = distance(start, calls, depth, key=key)
+    found = near.join(uses.select(F.col("src").alias("node"), "dst"), "node")
+    return found.groupBy(*key, "dst").agg(F.min("depth").alias("depth"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """``src, dst, depth``: all ancestors of each node (itself at depth 0), however deep; cycles end by themselves."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    found = distance(nodes.select(F.col("node").alias("src"), "node"), edges, depth=10_000, key=["src"], cut=True)
-    return found.select("src", F.col("node").alias("dst"), "depth")
+    """``src, dst, depth``: all ancestors of each node (itself at depth 0) and their least depth, cycles included.
+
+    Paths are doubled: after round k all pairs within 2^k edges are known, so a chain of n edges takes log2(n) rounds.
+    The result holds all pairs by nature.
+    """
+    hop = edges.select("src", "dst").where("src != dst").distinct()
+    nodes = hop.select(F.col("src").alias("n")).union(hop.select("dst")).distinct()
+    pairs = materialised(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(0).alias("depth")).union(hop.withColumn("depth", F.lit(1))))
+    reach = 1
+    while True:
+        onward = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
+        longer = pairs.join(onward, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        pairs = materialised(longer)
+        reach *= 2
+        if pairs.where(F.col("depth") == reach).isEmpty():
+            return pairs  # no pair at the full reach: none is farther
+
+
+def within_budget(visited: DataFrame, cost: Column, *, key: list[str], budget: int, least: int) -> DataFrame:
+    """Rows of a traversal, in order of depth and node for each key, while more than ``least`` of ``budget`` remains.
+
+    Adds ``seq`` and ``spent`` (the cost before the row).
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*key).orderBy("depth", "node")
+    before = F.coalesce(F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return visited.withColumns({"seq": F.row_number().over(order), "spent": before}).where(F.lit(budget) - F.col("spent") > least)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

@@ -14,9 +14,12 @@ _own: list[str] = []
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` (a temporary one where it is unset, as in tests) and read back."""
-    shared = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Write to the folder of ``spark.checkpoint.dir`` and read back; where it is unset, on a local master only, a temporary one."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="weftline-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -33,15 +36,71 @@ def best_per_key(df: DataFrame, keys: list[str], order: Column, *, last: bool =
     return df.groupBy(*keys).agg(pick(row, order).alias("r")).select(*keys, "r.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows without those of the new keys, and the new rows."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, digest: str | None = None) -> DataFrame:
+    """The old rows without those of the new keys, and the new rows.  With ``digest``, a row whose digest has not changed
+    stays as it was."""
+    if digest:
+        same = old.select(*keys, F.col(digest).alias("__was"))
+        new = new.join(same, keys, "left").where(~F.col(digest).eqNullSafe(F.col("__was")) | F.col("__was").isNull()).select(*new.columns)
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
-    """``key, status``: added, changed, removed or unchanged, by key and digest."""
+def without_keys(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return df.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def refreshed(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """A full refresh: of rows with the same key the last by ``seq``."""
+    return best_per_key(rows, keys, F.col(seq), last=True)
+
+
+def appended(log: DataFrame, new: DataFrame, id_column: str, order: list[str]) -> DataFrame:
+    """The log with new rows, which are numbered on from its greatest id."""
+    last = log.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("last")).scalar()
+    fresh = numbered(new, order).withColumn(id_column, (F.col("number") + last).cast("long")).drop("number")
+    return log.unionByName(fresh.select(*log.columns))
+
+
+def numbered(df: DataFrame, order: list[str | Column], total: Column | None = None) -> DataFrame:
+    """``df`` with ``number``, 1 to n in the given order, and with ``total`` its running sum as ``running``.
+
+    Rows are dealt to ranges of the order; a range numbers its own rows and adds what stands before it, one row for each
+    range.  No window spans the table.
+    """
+    from pyspark.sql import Window
+
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = materialised(df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part").orderBy(*columns)
+    value = F.lit(0) if total is None else total
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__v"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v0"))
+    out = parts.withColumns({"number": F.row_number().over(inside), "running": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.join(offsets, "__part").withColumns({"number": (F.col("number") + F.col("__n0")).cast("long"), "running": F.col("running") + F.col("__v0")})
+    return out.drop("__part", "__n0", "__v0", *([] if total is not None else ["running"]))
+
+
+def diff(old: DataFrame, new: DataFrame, key: str, digest: str, *, missing_roots: list[str] | None = None) -> DataFrame:
+    """``key, status``: added, changed, removed or unchanged, by key and digest.
+
+    Paths at or under a missing root are not known to be gone: they are ``kept``.
+    """
     a = old.select(F.col(key).alias("k"), F.col(digest).alias("was"))
     b = new.select(F.col(key).alias("k2"), F.col(digest).alias("now"))
     both = a.join(b, F.col("k") == F.col("k2"), "full")
-    status = F.when(F.col("k").isNull(), "added").when(F.col("k2").isNull(), "removed").when(F.col("was").eqNullSafe(F.col("now")), "unchanged").otherwise("changed")
+    lost = F.lit("removed")
+    for root in missing_roots or []:
+        lost = F.when((F.col("k") == root) | F.col("k").startswith(root.rstrip("/") + "/"), "kept").otherwise(lost)
+    status = F.when(F.col("k").isNull(), "added").when(F.col("k2").isNull(), lost).when(F.col("was").eqNullSafe(F.col("now")), "unchanged").otherwise("changed")
     return both.select(F.coalesce("k", "k2").alias(key), status.alias("status"))
+
+
+def cache_state(log: DataFrame, key: str, op: str, at: str) -> DataFrame:
+    """``key, entry, hits, last_used`` from a log of puts, touches and clears: the last put counts if no clear follows it,
+    with the touches since (a put starts again at none).  Two partial aggregates, no window."""
+    marks = log.groupBy(key).agg(F.max(F.when(F.col(op) == "put", F.col(at))).alias("entry"), F.max(F.when(F.col(op) == "clear", F.col(at))).alias("cleared"))
+    live = marks.where(F.col("entry").isNotNull() & (F.col("cleared").isNull() | (F.col("cleared") < F.col("entry")))).select(key, "entry")
+    since = log.where(F.col(op) == "touch").select(key, F.col(at).alias("__at")).join(live, key).where(F.col("__at") > F.col("entry"))
+    used = since.groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.max("__at").alias("last"))
+    return live.join(used, key, "left").select(key, "entry", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("last", "entry").alias("last_used"))

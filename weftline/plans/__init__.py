@@ -1,0 +1,3 @@
+"""The registered lineage queries; importing the package registers all of them."""
+
+from weftline.plans import catalog, resolutions, scalars, states, traversals  # noqa: F401

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import graph
-from weftline.operators.tables import best_per_key, diff
+from weftline.operators.resolution import two_smallest
+from weftline.operators.tables import best_per_key, diff, numbered
+from weftline.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from weftline.sources.tables import EDGES_SQL, SYMBOLS_SQL, edges, node, symbols, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 c = F.col
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- graph -----------------------------------------------------------------------------------------------------------
 
 REACH = "reach AS (SELECT {start} UNION SELECT e.{to} AS node, r.depth + 1 AS depth FROM reach r JOIN edges e ON e.{at} = r.node WHERE r.depth < {depth})"
@@ -48,13 +36,13 @@ def reach_from_customers(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 'nation:' || n_nationkey AS root, 'nation:' || n_nationkey AS node, 0 AS depth FROM nation
- UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < 2)
- SELECT root, depth::INT AS depth, count(*) AS n FROM (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) GROUP BY ALL""")
+ UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < 8)
+ SELECT root, node, min(depth)::INT AS depth, left(sha256(node), 12) AS digest FROM r GROUP BY root, node""")
 def controller_graph(spark, d):
-    """How many entities hang on each nation, by depth."""
+    """All entities that hang on each nation, with their depth and a short digest."""
     start = table(spark, d, "nation").select(node("nation", c("n_nationkey")).alias("root"), node("nation", c("n_nationkey")).alias("node"))
-    near = graph.distance(start, graph.reversed_edges(edges(spark, d)), 2, key=["root"])
-    return near.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"))
+    near = graph.distance(start, graph.reversed_edges(edges(spark, d)), 8, key=["root"], cut=True)
+    return near.select("root", "node", "depth", F.substring(F.sha2("node", 256), 1, 12).alias("digest"))
 
 
 PARTS_SQL = "edges AS (SELECT p_partkey AS src, p_partkey // 10 AS dst FROM part WHERE p_partkey // 10 > 0)"
@@ -108,9 +96,9 @@ def edges_by_kind(spark, d):
     return edges(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SYMBOLS_SQL} SELECT qname, name FROM symbols WHERE kind = 'part' AND name ILIKE '%A%1%' ORDER BY qname LIMIT 20")
+@query(f"WITH {SYMBOLS_SQL} SELECT qname, name FROM symbols WHERE kind = 'part' AND name ILIKE '%BLUE%' ORDER BY qname LIMIT 20")
 def find_symbols(spark, d):
-    return symbols(spark, d).where((c("kind") == "part") & c("name").ilike("%A%1%")).orderBy("qname").limit(20).select("qname", "name")
+    return symbols(spark, d).where((c("kind") == "part") & c("name").ilike("%BLUE%")).orderBy("qname").limit(20).select("qname", "name")
 
 
 @query(f"WITH {EDGES_SQL} SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node")
@@ -128,9 +116,19 @@ def children(spark, d):
     return top.join(counted, c("qname") == c("up"), "left").select("qname", "name", F.coalesce("n", F.lit(0)).alias("n_children"))
 
 
-@query(f"WITH {EDGES_SQL} SELECT '{{\"src\":\"' || src || '\",\"dst\":\"' || dst || '\",\"kind\":\"' || kind || '\"}}' AS line FROM edges WHERE kind <> 'contains_part'")
+@query(f"""WITH {EDGES_SQL}, {SYMBOLS_SQL} SELECT '{{"src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '"}}' AS line FROM edges
+ UNION ALL SELECT '{{"qname":"' || qname || '","kind":"' || kind || '","name":"' || name || '"}}' FROM symbols""")
 def symbol_graph_export(spark, d):
-    return edges(spark, d).where("kind <> 'contains_part'").select(F.to_json(F.struct("src", "dst", "kind")).alias("line"))
+    """All edges and symbols as lines of JSON."""
+    lines = symbols(spark, d).select(F.to_json(F.struct("qname", "kind", "name")).alias("line"))
+    return edges(spark, d).select(F.to_json(F.struct("src", "dst", "kind")).alias("line")).union(lines)
+
+
+@query(f"""WITH {EDGES_SQL} SELECT '  "' || src || '" -> "' || dst || '" [label="' || kind || '"];' AS line FROM edges WHERE kind <> 'contains_part' AND dst NOT LIKE 'region:%'""")
+def symbol_graph_dot(spark, d):
+    """The edges for a drawing: without the most common kind and outside targets (regions)."""
+    shown = edges(spark, d).where((c("kind") != "contains_part") & ~c("dst").startswith("region:"))
+    return shown.select(F.format_string('  "%s" -> "%s" [label="%s"];', "src", "dst", "kind").alias("line"))
 
 
 # --- names and joins -------------------------------------------------------------------------------------------------
@@ -145,10 +143,11 @@ def resolve_names(spark, d):
     """A name by stages: the same full name, the only one of its package and root, the first of its package."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     ref = part.withColumnRenamed("p_partkey", "ref")
-    same = part.select(c("p_partkey").alias("target"), "p_name")
+    same = two_smallest(part, ["p_name"], "p_partkey").select("p_name", "first", "second")
     only = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1")
     first = part.groupBy("p_brand").agg(F.min("p_partkey").alias("target"))
-    stages = [ref.join(same, "p_name").where("target <> ref"), ref.join(only, ["p_brand", "p_type"]), ref.join(first, "p_brand")]
+    other = ref.join(same, "p_name").withColumn("target", F.when(c("first") != c("ref"), c("first")).otherwise(c("second"))).where("target IS NOT NULL")
+    stages = [other, ref.join(only, ["p_brand", "p_type"]), ref.join(first, "p_brand")]
     cand = [s.select("ref", F.lit(k).alias("stage"), "target") for k, s in enumerate(stages, 1)]
     return best_per_key(cand[0].union(cand[1]).union(cand[2]), ["ref"], F.struct("stage", "target"))
 
@@ -229,7 +228,8 @@ def greedy_batches(spark, d):
  SELECT conv_id, turn, (1000 * tok // sum(tok) OVER (PARTITION BY conv_id))::BIGINT AS share FROM t""")
 def token_share(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.lit(1), T.estimated_tokens(c("text"))).alias("tok"))
-    return t.select("conv_id", "turn", F.floor(1000 * c("tok") / F.sum("tok").over(Window.partitionBy("conv_id"))).alias("share"))
+    total = t.groupBy("conv_id").agg(F.sum("tok").alias("all"))
+    return t.join(total, "conv_id").select("conv_id", "turn", F.floor(1000 * c("tok") / c("all")).alias("share"))
 
 
 K = "coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0)"
@@ -270,9 +270,9 @@ def cache_plan(spark, d):
     return units.join(stored, c("doc_id") == c("stored"), "left").groupBy("lang").agg(F.count(F.lit(1)).alias("units"), F.count("stored").alias("hits"), F.count_if(c("stored").isNull()).alias("misses"), F.sum(F.when(c("stored").isNull(), c("tok")).otherwise(0)).alias("miss_tokens"))
 
 
-@query("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
+@query("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 0)")
 def cache_prune(spark, d):
-    return table(spark, d, "events").join(table(spark, d, "customer").select(c("c_custkey").alias("user_id")), "user_id", "left_anti").select("event_id")
+    return table(spark, d, "events").join(table(spark, d, "customer").where("c_acctbal > 0").select(c("c_custkey").alias("user_id")), "user_id", "left_anti").select("event_id")
 
 
 @query("""SELECT source, CASE WHEN bool_or(l.quality = 0) THEN 'stale' WHEN count(l.doc_id) = 0 THEN 'none' WHEN count(l.doc_id) < count(*) THEN 'partial' ELSE 'cached' END AS status
@@ -317,8 +317,10 @@ def normalize_path(spark, d):
 
 @query(f"WITH {PAGES_SQL} SELECT page_id, method || ' ' || path || CASE WHEN count(*) OVER (PARTITION BY method, path) > 1 THEN ' @' || page_id ELSE '' END AS id FROM pages2")
 def endpoint_unique_ids(spark, d):
-    many = F.count(F.lit(1)).over(Window.partitionBy("method", "path")) > 1
-    return _endpoints(spark, d).select("page_id", F.concat("method", F.lit(" "), "path", F.when(many, F.concat(F.lit(" @"), c("page_id").cast("string"))).otherwise("")).alias("id"))
+    e = _endpoints(spark, d)
+    held = e.groupBy("method", "path").agg(F.count(F.lit(1)).alias("held"))
+    many = c("held") > 1
+    return e.join(held, ["method", "path"]).select("page_id", F.concat("method", F.lit(" "), "path", F.when(many, F.concat(F.lit(" @"), c("page_id").cast("string"))).otherwise("")).alias("id"))
 
 
 @query(f"WITH {PAGES_SQL} SELECT method, path, min(page_id) AS first FROM pages2 GROUP BY ALL")
@@ -331,10 +333,10 @@ def endpoint_select(spark, d):
     return _endpoints(spark, d).where(T.glob(c("path"), "/en/*") & ~T.glob(c("path"), "*.html")).select("page_id", "path")
 
 
-@query(f"""WITH {PAGES_SQL}, s AS (SELECT page_id, string_split(path[2:], '/') AS seg FROM pages2), x AS (SELECT page_id, seg, unnest(range(1, len(seg) + 1)) AS k FROM s)
+@query(f"""WITH {PAGES_SQL}, s AS (SELECT page_id, string_split(path[2:], '/') AS seg FROM pages2 WHERE path <> '/'), x AS (SELECT page_id, seg, unnest(range(1, len(seg) + 1)) AS k FROM s)
  SELECT '/' || array_to_string(seg[:k], '/') AS prefix, k::INT AS depth, count(*) AS n FROM x GROUP BY ALL""")
 def endpoint_tree(spark, d):
-    seg = _endpoints(spark, d).select(F.split(F.substring("path", 2, 100_000), "/").alias("seg"))
+    seg = _endpoints(spark, d).where("path != '/'").select(F.split(F.expr("substring(path, 2)"), "/").alias("seg"))
     each = seg.select(F.posexplode(F.transform("seg", lambda _, i: F.concat(F.lit("/"), F.array_join(F.slice("seg", 1, i + 1), "/")))).alias("k", "prefix"))
     return each.groupBy("prefix", (c("k") + 1).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -346,7 +348,7 @@ def slugify(spark, d):
 
 @query(r"SELECT DISTINCT p_type, lower(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake, upper(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS upper_snake FROM part")
 def wire_naming(spark, d):
-    return table(spark, d, "part").select("p_type", T.wire_name(c("p_type"), "snake").alias("snake"), T.wire_name(c("p_type"), "upper_snake").alias("upper_snake")).distinct()
+    return table(spark, d, "part").select("p_type", T.wire_name(c("p_type"), "SnakeCase").alias("snake"), T.wire_name(c("p_type"), "UpperSnakeCase").alias("upper_snake")).distinct()
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN true WHEN o_orderpriority LIKE '5%' THEN false WHEN o_orderstatus = 'F' THEN true END AS required FROM orders")
@@ -384,8 +386,7 @@ def jalali_dates(spark, d):
 @query("""WITH s AS (SELECT n_nationkey, n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)
  SELECT n_name, row_number() OVER (ORDER BY n_name)::INT AS number, (sum(n + 1) OVER (ORDER BY n_name ROWS UNBOUNDED PRECEDING))::BIGINT AS last_table FROM s""")
 def table_numbering(spark, d):
-    """Documents (nations, a short list by nature) numbered in order, and a running count of their tables."""
+    """Documents (nations) numbered in order, and a running count of their tables."""
     n = table(spark, d, "supplier").groupBy(c("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     s = table(spark, d, "nation").join(n, c("n_nationkey") == c("k"), "left")
-    w = Window.orderBy("n_name")
-    return s.select("n_name", F.row_number().over(w).alias("number"), F.sum(F.coalesce("n", F.lit(0)) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("last_table"))
+    return numbered(s.select("n_name", (F.coalesce("n", F.lit(0)) + 1).alias("tables")), ["n_name"], c("tables")).select("n_name", c("number").cast("int"), c("running").alias("last_table"))
