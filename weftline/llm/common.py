@@ -61,3 +61,8 @@ def salted_join(many: DataFrame, one: DataFrame, key: str | list[str], how: str
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
     each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(each, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a written table of a few numbers in a row, marked for broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -234,3 +235,17 @@ def decode_ids(ids: Column, model_path: str) -> Column:
             yield pd.Series([c.decode([int(i) for i in r]) if r is not None and len(r) else "" for r in rows], dtype=object)
 
     return text(ids)
+
+
+def round_trip(text: Column, model_path: str, at_once: int = 500) -> Column:
+    """``struct<ids, text>``: the ids of each whole text and what they decode to, in one pass with few rows in memory."""
+
+    @F.pandas_udf("ids array<int>, text string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = coder(model_path)
+        for texts in batches:
+            for k in range(0, len(texts), at_once):
+                ids = [c.encode(t) for t in texts.iloc[k : k + at_once]]
+                yield pd.DataFrame({"ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "text": [c.decode(x) for x in ids]})
+
+    return both(text)

@@ -82,4 +82,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_language, op3_quality, op4_decontaminate, op5_pii, op6_urls, op7_simhash, op8_chunks, op9_toxicity, op10_secrets)
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+#: SQL where it can express a whole result: windows joined by their text, for each length of window.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": f"""WITH b AS (SELECT item_id::VARCHAR AS item, {WORDS_SQL} AS w FROM benchmark),
+ bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, unnest([array_to_string(w[i:i + least(len(w), 10) - 1], ' ') FOR i IN range(1, len(w) - least(len(w), 10) + 2)]) AS x FROM b WHERE len(w) > 0),
+ d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents), sizes AS (SELECT DISTINCT n FROM bw),
+ places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+ h AS (SELECT r, i, p.n AS n, item FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS x FROM places) p JOIN bw USING (n, x)),
+ hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+ it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+}

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialised, salted_join
+from weftline.llm.common import materialised, salted_join, small
 
 #: A-Z lower case; the white space that ends words becomes blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -248,7 +248,7 @@ def _blocks(rows: DataFrame, columns: list[str], capacity: int, least: int) -> t
         return pd.Series(list(np.stack(places, 1).astype(np.int32)))
 
     dealt = rows.withColumn("__at", placed(*columns) if n and blocks > 1 else F.array(*(F.lit(0) for _ in columns)))
-    dealt = materialised(dealt.select("*", F.posexplode("__at").alias("k", "block")).drop("__at"))
+    dealt = dealt.select("*", F.posexplode("__at").alias("k", "block")).drop("__at")
     word = F.element_at(F.array(*columns), F.col("k") + 1)
     nodes = dealt.groupBy("k", "block").agg(F.bit_and(word).alias("ones"), F.bit_or(word).alias("any"))
     return dealt, nodes
@@ -428,12 +428,14 @@ def _nearest(found: np.ndarray, same: bool) -> np.ndarray:
     return found[:, kept]
 
 
-def similar(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int = 800, capacity: int = 1 << 18) -> DataFrame:
-    """The rows of ``docs`` with ``__row`` (a key of the row) and ``__component``: rows linked by a Jaccard similarity of
-    ``permille`` or more of their sets of shingles, or by a chain of such.  Rows with equal sets are one item.
+def similar(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int = 800, capacity: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with a key ``__row``, as a written table, and ``__row, __component`` of each: rows linked by a
+    Jaccard similarity of ``permille`` or more of their sets of shingles, or by a chain of such.  Rows with equal sets
+    are one item.
 
     First each item is compared with its nearest candidates, twice, then all candidates that are not yet in one
-    component: copies of one text cost no pairs.  Null and wordless texts are one item; ids play no part.
+    component: copies of one text cost no pairs.  Null and wordless texts are one item; ids play no part.  Texts are
+    shuffled only where they are compared.
     """
     names = [f"w{k}" for k in range(WORDS)]
 
@@ -454,11 +456,12 @@ def similar(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int
         pairs = materialised(_candidates(searched, permille, capacity, nearest))
         if roots is not None and pairs.isEmpty():
             break
-        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        bodies = materialised(marked.select(F.col("__row").alias("row"), F.col(text).alias("body")).join(asked, "row", "left_semi"))
+        asked = materialised(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+        bodies = materialised(marked.select(F.col("__row").alias("row"), F.col(text).alias("body")).join(small(asked), "row", "left_semi"))
         side = lambda k: bodies.select(F.col("row").alias(k), F.col("body").alias(f"body_{k}"))  # noqa: B023, E731
         sound = materialised(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(size, permille)("body_a", "body_b")).select("a", "b"))
         links = sound if links is None else links.unionByName(sound)
         roots = materialised(components(links))
     named = items.join(roots, F.col("row") == F.col("node"), "left").select("item", F.coalesce("root", "row").alias("__component"))
-    return salted_join(marked.withColumn("item", F.col("__s.item")), named, "item").select(*docs.columns, "__row", "__component")
+    rows = salted_join(marked.select("__row", F.col("__s.item").alias("item")), named, "item").select("__row", "__component")
+    return marked.drop("__s"), rows
