@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, pieces, pii, quality, simhash
-from weftline.llm.common import materialised, table
+from weftline.llm.common import materialised, small, table
 from weftline.llm.queries import piece_model
 
 
@@ -20,10 +20,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (0.8 of their five-word shingles shared, or linked by such) one row stays, that with the
     smallest id; a row without an id only if its group has none."""
-    near = materialised(simhash.similar(docs))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    marked, rows = simhash.similar(docs)
+    near = materialised(marked.select("__row", "doc_id", F.xxhash64("text").alias("h")).join(rows, "__row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "__row")
     first = near.groupBy("__component").agg(F.min_by("__row", order).alias("__row"))
-    return near.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
+    gone = materialised(near.select("__row").join(first.select("__row"), "__row", "left_anti"))
+    return marked.join(small(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each text, and the text that they decode to."""
-    ids = docs.select("doc_id", "lang", "source", pieces.encode_ids(F.col("text"), piece_model()).alias("ids"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.decode_ids(F.col("ids"), piece_model()).alias("text"))
+    coded = docs.select("doc_id", "lang", "source", pieces.round_trip(F.col("text"), piece_model()).alias("p"))
+    return coded.select("doc_id", "lang", "source", F.size("p.ids").cast("long").alias("n_tokens"), "p.ids", "p.text")
 
 
 STAGES = [
