@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chunks, decontaminate, language, pieces, pii, quality, secret_scan, simhash, spans, toxicity, urls
+from weftline.llm import alignment, chunks, decontaminate, language, pieces, pii, quality, secret_scan, simhash, spans, toxicity, urls
 from weftline.llm.common import held_out, joined, table
 
 
@@ -17,6 +17,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pieces.encode_digests(F.col("text"), piece_model()).alias("p")).select("doc_id", "p.*")
@@ -79,8 +85,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.scores(F.col("text"), weights, spark).alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), byte_tokenizer(), piece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_quality, op4_decontaminate, op5_pii, op6_urls, op7_simhash, op8_chunks, op9_toxicity, op10_secrets)
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_quality, op4_decontaminate, op5_pii, op6_urls, op7_simhash, op8_chunks, op9_toxicity, op10_secrets, op13_alignment)
 }
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 #: SQL where it can express a whole result: windows joined by their text, for each length of window.
