@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import alignment, chunks, decontaminate, language, pieces, pii, quality, secret_scan, simhash, spans, toxicity, urls
+from weftline.llm import alignment, chunks, decontaminate, language, mining, pieces, pii, quality, secret_scan, sharding, simhash, spans, toxicity, urls
 from weftline.llm.common import held_out, joined, table
 
 
@@ -85,12 +85,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.scores(F.col("text"), weights, spark).alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), 16)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mining.quantised(table(spark, sf_dir, "embeddings"), "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), byte_tokenizer(), piece_model())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_quality, op4_decontaminate, op5_pii, op6_urls, op7_simhash, op8_chunks, op9_toxicity, op10_secrets, op13_alignment)
+    f.__name__: f for f in (op1_sentencepiece, op2_language, op3_quality, op4_decontaminate, op5_pii, op6_urls, op7_simhash, op8_chunks, op9_toxicity, op10_secrets, op11_sharding, op12_hard_negatives, op13_alignment)
 }
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 #: SQL where it can express a whole result: windows joined by their text, for each length of window.
@@ -103,5 +113,12 @@ ORACLE_SQL: dict[str, str] = {
  hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
  it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
- FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    "op12_hard_negatives": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3""",
 }
