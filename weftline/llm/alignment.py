@@ -185,7 +185,8 @@ def aligned_slice(texts: list[str | None], both: Tokenizers) -> dict:
     if not total:
         return out | {"first": np.zeros(len(texts) + 1, np.int64), "place": np.zeros(0, np.int32), "times": np.zeros(0, np.int64), "pairs": np.zeros(0, np.int64)}
     flat = place_of[np.fromiter(chain.from_iterable(split), np.int64, total)].astype(np.int32)
-    del split
+    n = len(segments)
+    del split, known, segments, bytes_of, inner
     place = pa.table({"doc": np.repeat(np.arange(len(texts), dtype=np.int32), lengths), "seg": flat})
     with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": spill}) as db:
         for name, rows in (("a", _intervals(*a, both.a_size)), ("b", _intervals(*b, both.b_size)), ("place", place)):
@@ -195,7 +196,6 @@ def aligned_slice(texts: list[str | None], both: Tokenizers) -> dict:
         linked, links = db.execute("SELECT seg, n FROM links").fetchnumpy().values()
         doc, pair, times = db.execute(PAIRS).fetchnumpy().values()
     some, ends = np.flatnonzero(lengths), np.cumsum(lengths)
-    n = len(segments)
     each = {"n_a": np.bincount(seg[side == 0], minlength=n), "n_b": np.bincount(seg[side == 1], minlength=n)}
     each |= {"n_groups": np.bincount(seg[(side == 0) & same], minlength=n), "n_links": np.bincount(linked, links, n).astype(np.int64)}
     for c in COUNTS:
@@ -220,7 +220,7 @@ def _slices(texts: list[str | None], chars: int) -> Iterator[range]:
         yield range(start, len(texts))
 
 
-def aligned(docs: DataFrame, byte_json: str, piece_model: str, *, slice_chars: int = 8_000_000) -> DataFrame:
+def aligned(docs: DataFrame, byte_json: str, piece_model: str, *, slice_chars: int = 6_000_000) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of each row of ``docs`` (doc_id, text).
 
     ``n_best``: links whose pair is held by as many texts as any pair of its A id.  ``count_sum``: the number of texts
