@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.operators.tables import materialised
 
 
-def distance(start: DataFrame, edges: DataFrame, depth: int | None, *, key: list[str] | None = None, cut: bool = False, through: Column | None = None) -> DataFrame:
+def distance(start: DataFrame, edges: DataFrame, depth: int | None, *, key: list[str] | None = None, cut: bool = True, through: Column | None = None) -> DataFrame:
     """``[key...], node, depth``: the least number of edges from the start to each node, up to ``depth`` (None: no bound).
 
     ``start`` has the key columns and ``node``.  With no key the start is one set: each node is visited once, however
-    many starts reach it.  A level is expanded only from nodes that no earlier level holds.  ``cut`` writes each level
-    to the shared folder and ends once a level is empty; deep or cyclic graphs need it, where the plan would grow, and
-    without a bound it is always done.  ``through``, a test of ``node``: nodes that fail are neither returned nor
-    expanded (starts are).
+    many starts reach it.  A level is expanded only from nodes that no earlier level holds.  Edges and levels are written
+    to the shared folder, so each is computed once, and the search ends once a level is empty; ``cut=False`` leaves all
+    in one plan, which suits one or two levels.  ``through``, a test of ``node``: nodes that fail are neither returned
+    nor expanded (starts are).
     """
     key = key or []
     at = [*key, "node"]
-    cut = cut or depth is None
-    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    seen = front = start.select(*at).distinct().withColumn("depth", F.lit(0))
+    cut = (cut or depth is None) and depth != 0
+    kept = materialised if cut else lambda df: df
+    hop = kept(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    seen = front = kept(start.select(*at).distinct().withColumn("depth", F.lit(0)))
     level = 0
     while depth is None or level < depth:
         level += 1
         step = front.join(hop, "node").select(*key, F.col("next").alias("node"))
         step = step if through is None else step.where(through)
-        front = step.distinct().join(seen, at, "left_anti").withColumn("depth", F.lit(level))
-        if cut:
-            front = materialised(front)
-            if front.isEmpty():
-                break
+        front = kept(step.distinct().join(seen, at, "left_anti").withColumn("depth", F.lit(level)))
+        if cut and front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -46,20 +48,25 @@ def collected(start: DataFrame, calls: DataFrame, uses: DataFrame, depth: int, *
 def closure(edges: DataFrame) -> DataFrame:
     """``src, dst, depth``: all ancestors of each node (itself at depth 0) and their least depth, cycles included.
 
-    Paths are doubled: after round k all pairs within 2^k edges are known, so a chain of n edges takes log2(n) rounds.
-    The result holds all pairs by nature.
+    The reach doubles: a pair farther than ``reach`` goes ``reach`` edges and then on, so pairs of just that depth are
+    joined with the nearer ones, and only new pairs are written.  A chain of n edges takes log2(n) rounds.  The result
+    holds all pairs by nature.
     """
-    hop = edges.select("src", "dst").where("src != dst").distinct()
+    hop = materialised(edges.select("src", "dst").where("src != dst").distinct().withColumn("depth", F.lit(1)))
     nodes = hop.select(F.col("src").alias("n")).union(hop.select("dst")).distinct()
-    pairs = materialised(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(0).alias("depth")).union(hop.withColumn("depth", F.lit(1))))
+    known = [hop]
+    selves = materialised(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(0).alias("depth")))
     reach = 1
     while True:
-        onward = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
-        longer = pairs.join(onward, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
-        pairs = materialised(longer)
+        pairs = reduce(DataFrame.unionByName, known)
+        far = known[-1].where(F.col("depth") == reach).select("src", F.col("dst").alias("mid"))
+        onward = pairs.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"))
+        longer = far.join(onward, "mid").groupBy("src", "dst").agg((F.min("more") + reach).alias("depth"))
+        new = materialised(longer.where("src != dst").join(pairs, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return selves.unionByName(pairs)
+        known.append(new)
         reach *= 2
-        if pairs.where(F.col("depth") == reach).isEmpty():
-            return pairs  # no pair at the full reach: none is farther
 
 
 def within_budget(visited: DataFrame, cost: Column, *, key: list[str], budget: int, least: int) -> DataFrame:
@@ -67,8 +74,6 @@ def within_budget(visited: DataFrame, cost: Column, *, key: list[str], budget: i
 
     Adds ``seq`` and ``spent`` (the cost before the row).
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*key).orderBy("depth", "node")
     before = F.coalesce(F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return visited.withColumns({"seq": F.row_number().over(order), "spent": before}).where(F.lit(budget) - F.col("spent") > least)

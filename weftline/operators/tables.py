@@ -81,6 +81,13 @@ def numbered(df: DataFrame, order: list[str | Column], total: Column | None = No
     return out.drop("__part", "__n0", "__v0", *([] if total is not None else ["running"]))
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``many`` joined with ``one`` (each key once), the rows of a key dealt to ``salts`` tasks by a hash of the row."""
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(each, [key, "__salt"], how).drop("__salt")
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str, *, missing_roots: list[str] | None = None) -> DataFrame:
     """``key, status``: added, changed, removed or unchanged, by key and digest.
 
