@@ -24,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spans import digits, in_blocks, kinds_in_order, luhn, mod97, once, run_start, sound, spans
+from weftline.llm.spans import digits, in_blocks, kinds_in_order, luhn, mod97, once, pieces, run_start, sound, spans, stretch
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn")
@@ -76,13 +76,14 @@ def _likely(kind: str, text: Column) -> Column:
 
 
 def _scored(kind: str, text: Column, found: Column, window: int) -> Column:
-    def score(s: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(s["start"] - window + 1, F.lit(1)), F.least(s["start"], F.lit(window))))
+    def score(parts: Column, s: Column) -> Column:
+        near = F.lower(stretch(parts, F.greatest(s["start"] - window, F.lit(0)), s["start"]))
         up = F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), 0.35).otherwise(0.0)
         down = F.when(near.rlike(rf"\b(?:{AGAINST})\b"), 0.2).otherwise(0.0)
         return F.least(F.greatest(F.lit(PRIOR[kind]) + up - down, F.lit(0.0)), F.lit(1.0))
 
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), F.round(score(s), 2).alias("score")))
+    scored = lambda parts, s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["text"].alias("text"), F.round(score(parts, s), 2).alias("score"))
+    return once(pieces(text), lambda parts: F.transform(found, lambda s: scored(parts, s)))
 
 
 def personal_data(docs: DataFrame, *, text: str = "text", prefix: str = "pii_", window: int = 40, least: float = 0.5) -> DataFrame:
@@ -109,7 +110,8 @@ def redacted(text: Column, found: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of spans that overlap, one covers all.
 
     A span's own part of the result is what stands between the furthest end before it and its start, and its kind; the
-    furthest ends are carried through blocks of spans, so the work grows with their number and not with its square.
+    furthest ends are carried through blocks of spans, and the text is cut in pieces, so the work grows with the number
+    of spans and the length of the text, not with their product.
     """
     t = F.coalesce(text, F.lit(""))
     part = "struct<a:int,b:int,kind:string>"
@@ -122,14 +124,17 @@ def redacted(text: Column, found: Column) -> Column:
     def block(at: Column, spans: Column) -> Column:
         return F.aggregate(spans, F.struct(at.alias("at"), F.array().cast(f"array<{part}>").alias("out")), step)
 
-    def written(r: Column) -> Column:
-        return F.array_join(F.transform(r["out"], lambda x: F.concat(F.substring(t, x["a"] + 1, x["b"] - x["a"]), F.lit("["), x["kind"], F.lit("]"))), "")
+    def written(parts: Column, r: Column) -> Column:
+        return F.array_join(F.transform(r["out"], lambda x: F.concat(stretch(parts, x["a"], x["b"]), F.lit("["), x["kind"], F.lit("]"))), "")
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate(
-        in_blocks(found),
-        start,
-        lambda acc, spans: once(block(acc["at"], spans), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(written(r))).alias("out"))),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.char_length(t))),
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(text)
+
+    def walked(parts: Column) -> Column:
+        return F.aggregate(
+            in_blocks(found),
+            start,
+            lambda acc, spans: once(block(acc["at"], spans), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(written(parts, r))).alias("out"))),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), stretch(parts, acc["at"], F.char_length(t))),
+        )
+
+    return F.when(F.size(found) > 0, once(pieces(t), walked)).otherwise(text)

@@ -64,6 +64,24 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+#: Characters of a piece of a text.
+PIECE = 1024
+
+
+def pieces(text: Column) -> Column:
+    """A text as an array of pieces of ``PIECE`` characters.  Cutting many stretches out of a long text scans it from its
+    start for each; out of its pieces, each cut costs one piece more than its length."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def stretch(parts: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to ``stop`` (exclusive) of the text that ``pieces`` has taken apart."""
+    first = F.floor(start / PIECE).cast("int")
+    n = F.floor((stop - 1) / PIECE).cast("int") - first + 1
+    held = F.array_join(F.slice(parts, first + 1, n), "")
+    return F.when(stop > start, F.substring(held, start - first * PIECE + 1, stop - start)).otherwise("")
+
+
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
