@@ -9,7 +9,9 @@ their ids; equal texts once).  They are dealt to ``shards`` shards.  In each rou
 rates and L1 sparsity, over its documents in order of their hash, in a task of its own, from the common state on; what
 the shards added to the state (z and n are sums) is added up for the next round.  The first round learns from whole
 texts, later ones from the window that scores highest so far.  The weights that L1 leaves are broadcast.  One more shard is not learnt from: slope and shift of the log odds are fitted to
-its labels, so that a score is a probability for texts that the model has not seen.
+its labels, so that a score is a probability for texts that the model has not seen.  Where the bound leaves out labels of
+one kind more than of the other, the log odds are moved back to the ratio of all labels, so that the number of labels
+taken changes how well texts are told apart, but not how many are called toxic.
 
 Defined results: texts without words (null, empty) get the bias alone; with no labels, or labels of one kind only, all
 scores are 0 and nothing is predicted toxic; rows with a null label or text are not learnt from.
@@ -82,6 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     those that are learnt from.  What reaches the driver is bounded by the sample and by ``bits``.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
+    there = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     halves = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_docs // 2) for y in (0, 1)]
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.xxhash64(F.col(text)).alias("h")).where(F.col("body").isNotNull())
     sample = rows.join(F.broadcast(halves[0].unionByName(halves[1])), "id").groupBy("h", "y").agg(F.min("body").alias("body"))
@@ -122,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     model = k, w[k], float(w[-1])
     told = dealt.where(F.col("shard") == shards).select("y", scores(F.col("body"), model, docs.sparkSession, window=window, bits=bits).alias("p")).toPandas()
     slope, shift = calibrated(told["p"].to_numpy(), told["y"].to_numpy(float))
-    return k, w[k] * slope, float(w[-1]) * slope + shift
+    # where one half takes a smaller share of its labels than the other, the sample's odds are not the labels'
+    taken = {y: min(n, sample_docs // 2) / n for y, n in there.items()}
+    return k, w[k] * slope, float(w[-1]) * slope + shift + math.log(taken[0] / taken[1])
 
 
 def calibrated(p: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
