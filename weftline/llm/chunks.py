@@ -9,8 +9,8 @@ inside a character.
 Texts are chunked once, under a row key that is written with the chunks.  A chunk whose digest (128 bits) occurs in two
 or more rows is common.  Common chunks that follow each other make a run; only runs of ``run_words`` words or more count
 as shared, which a passage of over 50 words leaves after its ragged ends: a lone chunk, or a common phrase, is left
-alone.  Of the rows that hold a shared chunk the one with the smallest id keeps it, all others lose it (``removed``
-gives the places).
+alone.  Of the rows that hold a shared chunk the one with the smallest id (of rows with the same id one and the same for
+all chunks) keeps it, all others lose it (``removed`` gives the places).
 
 Digests are counted by partial aggregates and joined back by digest and salt, so that a digest that a third of all rows
 hold is dealt to several tasks.  No group is gathered but a row's own chunks.
@@ -29,7 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialised, salted_join
+from weftline.llm.common import materialised, salted_join, small
+from weftline.llm.spans import once, pieces, stretch
+from weftline.operators.tables import numbered
 
 WINDOW = 16
 
@@ -120,11 +122,12 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     """
     cut = docs.select(F.col(doc_id).alias("doc_id"), chunks(F.col(text), least, most, bits).alias("c"))
     cut = materialised(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "c.*"))
-    each = cut.select("row", "doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("at", "d")).select("row", "doc_id", "at", "d.a", "d.b")
-    order = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1))
-    common = each.groupBy("a", "b").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min_by("row", order).alias("keeper"))
-    common = common.where("lo != hi").select("a", "b", "keeper")
-    hits = salted_join(each.select("row", "at", "a", "b"), common, ["a", "b"])
+    # rows numbered by id (nulls last, rows of one id apart), so that the row that keeps a chunk is the least number
+    turn = materialised(numbered(cut.select("row", "doc_id"), [F.col("doc_id").isNull(), "doc_id", "row"]).select(F.col("row").alias("of"), F.col("number").alias("turn")))
+    cut = cut.join(small(turn), F.col("row") == F.col("of")).select("doc_id", F.col("turn").alias("row"), "a", "b", "stop", "words")
+    each = cut.select("row", F.posexplode(F.arrays_zip("a", "b")).alias("at", "d")).select("row", "at", "d.a", "d.b")
+    common = each.groupBy("a", "b").agg(F.min("row").alias("keeper"), F.max("row").alias("hi")).where("keeper != hi").select("a", "b", "keeper")
+    hits = salted_join(each, common, ["a", "b"])
     found = hits.groupBy("row").agg(F.collect_list(F.struct("at", (F.col("row") == F.col("keeper")).alias("kept"))).alias("x"))
     found = found.select(F.col("row").alias("of"), F.col("x.at").alias("at"), F.col("x.kept").alias("kept"))
 
@@ -143,4 +146,4 @@ def without(text: Column, removed: Column) -> Column:
     """The text without the removed stretches (ascending, apart)."""
     stops = F.concat(F.array(F.lit(0)), removed["stop"])
     starts = F.concat(removed["start"], F.array(F.char_length(text)))
-    return F.array_join(F.zip_with(stops, starts, lambda a, b: F.substring(text, a + 1, b - a)), "")
+    return once(pieces(text), lambda parts: F.array_join(F.zip_with(stops, starts, lambda a, b: stretch(parts, a, b)), ""))
