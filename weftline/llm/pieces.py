@@ -238,14 +238,21 @@ def decode_ids(ids: Column, model_path: str) -> Column:
 
 
 def round_trip(text: Column, model_path: str, at_once: int = 500) -> Column:
-    """``struct<ids, text>``: the ids of each whole text and what they decode to, in one pass with few rows in memory."""
+    """``struct<ids, text>``: the ids of each whole text and what they decode to, in one pass with few rows in memory.
+
+    As one stage of several in a session, it gives its coder back with the partition: workers that wait would hold it.
+    """
 
     @F.pandas_udf("ids array<int>, text string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = coder(model_path)
+        import gc
+
+        c = PieceCoder(model_path, memo_entries=40_000)
         for texts in batches:
             for k in range(0, len(texts), at_once):
                 ids = [c.encode(t) for t in texts.iloc[k : k + at_once]]
                 yield pd.DataFrame({"ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "text": [c.decode(x) for x in ids]})
+        del c
+        gc.collect()  # its memos refer to it
 
     return both(text)

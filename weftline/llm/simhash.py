@@ -368,7 +368,7 @@ def signature(text: str | None, size: int) -> tuple:
     return (hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest(), len(h), *_majority(total, len(h)).view(np.int64).tolist())
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=64)
 def _kept(text: str | None, size: int) -> set[bytes]:
     return shingles(text, size)
 
@@ -381,6 +381,7 @@ def _alike(size: int, permille: int):
             x, y = _kept(s, size), _kept(t, size)
             both = len(x & y)
             out.append(1000 * both >= permille * (len(x) + len(y) - both))
+        _kept.cache_clear()  # workers that wait hold no texts
         return pd.Series(out, dtype=bool)
 
     return of
