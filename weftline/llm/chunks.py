@@ -87,14 +87,15 @@ def chunked(text: str | None, least: int, most: int, bits: int) -> tuple[np.ndar
     return halves[:, 0], halves[:, 1], stops.astype(np.int32), np.diff(begins[[0, *ends]]).astype(np.int32)
 
 
-def chunks(text: Column, least: int, most: int, bits: int) -> Column:
-    """``a, b`` (digest), ``stop`` and ``words`` of the chunks, in order, as parallel arrays."""
+def chunks(text: Column, least: int, most: int, bits: int, at_once: int = 500) -> Column:
+    """``a, b`` (digest), ``stop`` and ``words`` of the chunks, in order, as parallel arrays; few rows in memory at a time."""
 
     @F.pandas_udf("a array<long>, b array<long>, stop array<int>, words array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [chunked(t, least, most, bits) for t in texts]
-            yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(("a", "b", "stop", "words"))})
+            for j in range(0, len(texts), at_once):
+                rows = [chunked(t, least, most, bits) for t in texts.iloc[j : j + at_once]]
+                yield pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(("a", "b", "stop", "words"))})
 
     return of(text)
 
