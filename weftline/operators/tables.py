@@ -7,15 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` and read back; where it is unset, on a local master only, a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, on a local master only, in a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,7 +23,12 @@ def materialised(df: DataFrame) -> DataFrame:
             _own.append(tempfile.mkdtemp(prefix="weftline-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         shared = f"file://{_own[0]}"
-    path = f"{shared.rstrip('/')}/t-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/t-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: computed once, lineage cut."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
