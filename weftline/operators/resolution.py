@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.tables import best_per_key
+from weftline.operators.tables import best_per_key, materialised
 
 
 def resolve(refs: DataFrame, stages: list[DataFrame]) -> DataFrame:
@@ -64,3 +64,16 @@ def merged_rows(groups: list[DataFrame], key: str, texts: list[str]) -> DataFram
     order = F.struct("source", "seq")
     first = [F.coalesce(F.min_by(F.when(F.col(t) != "", F.col(t)), F.when(F.col(t) != "", order)), F.lit("")).alias(t) for t in texts]
     return union.groupBy(key).agg(*first, F.min(order).alias("__at")).select(key, *texts, "__at.source", "__at.seq")
+
+
+def first_answers(rows: DataFrame, answers: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value``: what ``answers`` (key, value) has for the first of the row's ``keys`` that it answers.
+
+    An empty text is no answer.  The keys of a row are looked up together, in one join.
+    """
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    numbered = materialised(numbered)
+    asked = numbered.select("__row", F.posexplode(F.array(*(F.col(k).cast("string") for k in keys))).alias("__at", "__key")).where("__key IS NOT NULL")
+    known = answers.select(F.col("key").alias("__key"), F.col(value)).where(f"{value} IS NOT NULL AND {value} != ''")
+    found = best_per_key(asked.join(known, "__key").select("__row", "__at", value), ["__row"], F.struct("__at", value)).select("__row", value)
+    return numbered.join(found, "__row", "left").drop("__row")

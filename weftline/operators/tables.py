@@ -40,6 +40,18 @@ def best_per_key(df: DataFrame, keys: list[str], order: Column, *, last: bool =
     return df.groupBy(*keys).agg(pick(row, order).alias("r")).select(*keys, "r.*")
 
 
+def listed(df: DataFrame, keys: list[str], value: str, order: list[str | Column], most: int) -> DataFrame:
+    """``keys..., n, first``: how many rows a key has and its first ``most`` values in the given order.
+
+    Rows beyond the bound are left out before they meet, so a key with very many costs no long list.
+    """
+    from pyspark.sql import Window
+
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rank") <= most)
+    first = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", F.col(value).alias("v")))), lambda x: x["v"]).alias("first"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(first, keys)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, digest: str | None = None) -> DataFrame:
     """The old rows without those of the new keys, and the new rows.  With ``digest``, a row whose digest has not changed
     stays as it was."""

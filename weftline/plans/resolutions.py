@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
-from weftline.operators.resolution import chain, inherited_methods, merged_rows, only_one, resolve
-from weftline.operators.tables import best_per_key
+from weftline.operators.resolution import chain, first_answers, inherited_methods, merged_rows, only_one, resolve
+from weftline.operators.tables import best_per_key, listed
 from weftline.plans.catalog import PARTS_SQL, _part_tree
 from weftline.plans.registry import query
-from weftline.sources.tables import table
+from weftline.sources.tables import node, table
 
 c = F.col
 CLOSURE_SQL = """r AS (SELECT src, src AS dst, 0 AS depth FROM edges UNION SELECT dst, dst, 0 FROM edges
@@ -93,3 +93,35 @@ def analysis_fallback(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.when(c("c_custkey") % 2 == 0, "view").otherwise("click").alias("event_type"))
     found = rows.join(own, ["c_custkey", "event_type"], "left").join(common, "event_type")
     return found.select("c_custkey", "event_type", F.coalesce("by_owner", "by_name").alias("entry"), c("by_owner").isNotNull().alias("own"))
+
+
+@query("""WITH u AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)
+ SELECT l_partkey AS part, count(*) AS n, (SELECT string_agg(x::VARCHAR, ',') FROM (SELECT unnest(list_sort(list(l_orderkey))[1:5]) AS x)) AS first FROM u GROUP BY l_partkey""")
+def used_by(spark, d):
+    """How many orders use each part, and the first five of them."""
+    uses = table(spark, d, "lineitem").select(c("l_partkey").alias("part"), "l_orderkey").distinct()
+    found = listed(uses, ["part"], "l_orderkey", ["l_orderkey"], 5)
+    return found.select("part", "n", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))
+
+
+@query("""WITH a AS (SELECT 'part:' || p_partkey || '.' || p_type AS key, p_name AS note FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_brand || '.' || p_type, CASE WHEN count(*) > 1 THEN min(p_name) ELSE '' END FROM part GROUP BY p_brand, p_type),
+ r AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem), k AS (SELECT l_partkey, l_linenumber, 'part:' || l_partkey || '.' || p_type AS k1, p_brand || '.' || p_type AS k2 FROM r JOIN part ON p_partkey = l_partkey)
+ SELECT l_partkey, l_linenumber, coalesce(nullif(x.note, ''), nullif(y.note, '')) AS note FROM k LEFT JOIN a x ON x.key = k1 LEFT JOIN a y ON y.key = k2""")
+def parameter_notes(spark, d):
+    """A note for each line's parameter: by the part and its field, else by the brand's field; empty notes do not count."""
+    part = table(spark, d, "part")
+    dotted = lambda a: F.concat(a, F.lit("."), "p_type")
+    own = part.where("p_size % 3 = 0").select(dotted(node("part", c("p_partkey"))).alias("key"), c("p_name").alias("note"))
+    brand = part.groupBy("p_brand", "p_type").agg(F.when(F.count(F.lit(1)) > 1, F.min("p_name")).otherwise("").alias("note")).select(dotted(c("p_brand")).alias("key"), "note")
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_linenumber").distinct().join(part.select(c("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey")
+    rows = lines.select("l_partkey", "l_linenumber", dotted(node("part", c("l_partkey"))).alias("k1"), dotted(c("p_brand")).alias("k2"))
+    return first_answers(rows, own.unionByName(brand), ["k1", "k2"], "note").select("l_partkey", "l_linenumber", "note")
+
+
+@query("""WITH changed AS (SELECT doc_id AS path FROM documents WHERE doc_id % 13 = 0), f AS (SELECT o_orderkey, o_custkey % 1000 AS path FROM orders)
+ SELECT path, count(*) AS n, min(o_orderkey) AS first FROM f JOIN changed USING (path) GROUP BY path""")
+def changed_symbols(spark, d):
+    """The symbols (orders) whose file (a document) has changed, by file."""
+    changed = table(spark, d, "documents").where("doc_id % 13 = 0").select(c("doc_id").alias("path"))
+    held = table(spark, d, "orders").select("o_orderkey", (c("o_custkey") % 1000).alias("path"))
+    return held.join(changed, "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators.tables import appended, cache_state, diff, numbered, refreshed, upsert, without_keys
-from weftline.plans.catalog import PAGES_SQL, K, _calls, _endpoints
+from weftline.plans.catalog import K, PAGES_SQL, _calls, _endpoints, analysis_status
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -58,13 +58,13 @@ def usage_since(spark, d):
     return calls.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(c("provider") == "error").alias("failed"))
 
 
-@query("""WITH l AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 3), n AS (SELECT user_id, event_type, ts FROM events WHERE event_id % 10 = 3)
- SELECT event_id AS id, user_id, event_type FROM l UNION ALL SELECT (SELECT max(event_id) FROM l) + row_number() OVER (ORDER BY ts, user_id), user_id, event_type FROM n""")
+@query("""WITH l AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 3), n AS (SELECT event_id, user_id, event_type, ts FROM events WHERE event_id % 10 = 3)
+ SELECT event_id AS id, user_id, event_type FROM l UNION ALL SELECT (SELECT max(event_id) FROM l) + row_number() OVER (ORDER BY ts, user_id, event_id), user_id, event_type FROM n""")
 def log_append(spark, d):
     """New calls appended to the log, numbered on from its last id in order of time."""
     e = table(spark, d, "events")
     log = e.where("event_id % 10 <> 3").select(c("event_id").alias("id"), "user_id", "event_type")
-    return appended(log, e.where("event_id % 10 = 3").select("user_id", "event_type", "ts"), "id", ["ts", "user_id"])
+    return appended(log, e.where("event_id % 10 = 3").select("user_id", "event_type", "ts", "event_id"), "id", ["ts", "user_id", "event_id"])
 
 
 @query("""SELECT c_nationkey, c_mktsegment, arg_max(c_custkey, c_custkey) AS last FROM customer GROUP BY ALL""")
@@ -77,8 +77,6 @@ def full_refresh(spark, d):
 @query("""SELECT status, count(*) AS n FROM (SELECT source, CASE WHEN bool_or(l.quality = 0) THEN 'stale' WHEN count(l.doc_id) = 0 THEN 'none' WHEN count(l.doc_id) < count(*) THEN 'partial' ELSE 'cached' END AS status
  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source) GROUP BY status""")
 def status_histogram(spark, d):
-    from weftline.plans.catalog import analysis_status
-
     return analysis_status(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
