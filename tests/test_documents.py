@@ -6,10 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions.values import coerced, example
 from weftline.operators.layers import deep_merged
+from weftline.operators.resolution import first_answers
 from weftline.operators.rules import matched
 from weftline.operators.samples import samples
 from weftline.operators.snapshots import Archive, Conflict, Snapshots
+from weftline.operators.tables import listed
+from weftline.sources.files import outermost
 
 
 def test_samples_equal_a_plain_recursion(spark):
@@ -98,3 +102,31 @@ def test_rules_find_what_filters_find(spark):
     got = {(r.rule, r.id) for r in matched(df, spark.createDataFrame(rules, "rule long, kind string, file string, name string"), key="id", equal=["kind", "file"], like=["name"]).collect()}
     fits = lambda want, has: want is None or want == has
     assert got == {(r, i) for r, kind, file, name in rules for i, k, n, f in rows if fits(kind, k) and fits(file, f) and (name is None or n is not None and name.lower() in n.lower())}
+
+
+def test_examples_are_coerced_or_made_up(spark):
+    cases = [
+        ("true", "Boolean", None, "true"), ('"FALSE"', "Boolean", None, "false"), ("1", "Boolean", None, None), ("true", "Int", None, None), ('"1,000"', "Long", None, "1000"), ("1.0", "Int", None, None),
+        ("2.0", "Double", None, "2"), ('"2.5"', "BigDecimal", None, "2.5"), ('"x"', "Double", None, None), ("12", "String", None, '"12"'), ("false", "String (Base64)", None, '"False"'), ("[1]", "String", None, None),
+        ('{"a":1}', "Map<String, Int>", None, '{"a":1}'), ('"a"', "Map", None, None), ("[1]", "List<Int>", None, "[1]"), ("null", "Other", None, None), ('""', "String", None, None), ("5", "Other", None, "5"),
+        ('"A"', "E", ["A", "B"], '"A"'), ('"C"', "E", ["A", "B"], None), (None, "Int", None, None), ('"q\\"é"', "String", None, '"q\\"é"'),
+    ]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(cases)], "k int, v string, t string, names array<string>, want string")
+    got = {r.k: r.got for r in df.select("k", coerced(F.col("v"), F.col("t"), F.col("names")).alias("got")).collect()}
+    assert got == {k: x[3] for k, x in enumerate(cases)}
+    made = [("totalAmount", "Long", "100000"), ("pageSize", "Int", "1"), ("rate", "Double", "19"), ("ok", "Boolean", "true"), ("birthDate", "String", '"1400/11/11 - 06:11:16"'), ("transactionId", "String", '"T-1"'), ("userId", "String", '"12081651201"'), ("x", "File", '"<binary>"'), ("x", "Odd", '"string"')]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(made)], "k int, n string, t string, want string")
+    none = F.lit(None)
+    got = {r.k: r.got for r in df.select("k", example(F.col("n"), F.col("t"), none.cast("string"), none.cast("array<string>"), "T-1").alias("got")).collect()}
+    assert got == {k: x[2] for k, x in enumerate(made)}
+    first = df.limit(1).select(example(F.col("n"), F.lit("E"), none.cast("string"), F.array(F.lit("A"), F.lit("B")), "T-1")).first()[0]
+    assert first == '"A"'
+
+
+def test_lists_and_roots(spark):
+    df = spark.createDataFrame([("a", k) for k in range(50, 0, -1)] + [("b", 1)], "k string, v int")
+    assert {r.k: (r.n, r.first) for r in listed(df, ["k"], "v", ["v"], 3).collect()} == {"a": (50, [1, 2, 3]), "b": (1, [1])}
+    assert outermost(["/a/b", "/a", "/ab", "/a/", "/c/d"]) == ["/a", "/ab", "/c/d"]
+    rows = spark.createDataFrame([(1, "x", "y"), (2, "none", "y"), (3, None, "empty"), (1, "x", "y")], "id int, k1 string, k2 string")
+    found = first_answers(rows, spark.createDataFrame([("x", "X"), ("y", "Y"), ("empty", "")], "key string, note string"), ["k1", "k2"], "note")
+    assert sorted((r.id, r.note) for r in found.collect()) == [(1, "X"), (1, "X"), (2, "Y"), (3, None)]

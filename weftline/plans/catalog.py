@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions import values as V
 from weftline.operators import graph
 from weftline.operators.resolution import two_smallest
 from weftline.operators.tables import best_per_key, diff, numbered
@@ -351,10 +354,19 @@ def wire_naming(spark, d):
     return table(spark, d, "part").select("p_type", T.wire_name(c("p_type"), "SnakeCase").alias("snake"), T.wire_name(c("p_type"), "UpperSnakeCase").alias("upper_snake")).distinct()
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN true WHEN o_orderpriority LIKE '5%' THEN false WHEN o_orderstatus = 'F' THEN true END AS required FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN true WHEN o_orderpriority LIKE '2%' THEN o_orderstatus = 'F' WHEN o_orderpriority LIKE '3%' AND o_orderstatus = 'F' THEN true
+ WHEN o_orderpriority LIKE '3%' AND o_orderstatus = 'O' THEN false WHEN o_orderpriority LIKE '4%' THEN false WHEN o_custkey % 4 = 0 THEN false WHEN o_custkey % 4 = 1 THEN true END AS required FROM orders""")
 def required_flag_3valued(spark, d):
-    p = c("o_orderpriority")
-    return table(spark, d, "orders").select("o_orderkey", F.when(p.startswith("1"), True).when(p.startswith("5"), False).when(c("o_orderstatus") == "F", True).alias("required"))
+    """Whether a member is required: by its annotations, of which the first that says something counts, else by its type."""
+    p, status = c("o_orderpriority"), c("o_orderstatus")
+    one = lambda name, *args: F.array(F.struct(F.lit("Size").alias("name"), F.create_map().cast("map<string,string>").alias("args")), F.struct(F.lit(name).alias("name"), (F.create_map(*args) if args else F.create_map()).cast("map<string,string>").alias("args")))
+    mode = F.when(status == "F", "Schema.RequiredMode.REQUIRED").when(status == "O", "NOT_REQUIRED").otherwise("AUTO")
+    annotations = (
+        F.when(p.startswith("1"), one("NotBlank")).when(p.startswith("2"), one("JsonProperty", F.lit("required"), (status == "F").cast("string")))
+        .when(p.startswith("3"), one("Schema", F.lit("requiredMode"), mode)).when(p.startswith("4"), one("Nullable")).otherwise(one("Max"))
+    )
+    kind = F.when(c("o_custkey") % 4 == 0, "java.util.Optional").when(c("o_custkey") % 4 <= 2, "int").otherwise("String")
+    return table(spark, d, "orders").select("o_orderkey", V.required(annotations, kind, F.when(c("o_custkey") % 4 == 2, 1).otherwise(0)).alias("required"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -362,9 +374,22 @@ def json_extract_lenient(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query("SELECT p_partkey, try_cast(regexp_extract(p_brand, '[0-9]+') AS INT) AS brand_no, try_cast(p_name AS INT) AS name_no FROM part")
+@query("""WITH v AS (SELECT event_id, list_extract(['Boolean', 'Int', 'Double', 'String (Date)', 'Map<String, Int>', 'List<Int>', 'Other'], (event_id // 8 % 7 + 1)::INT) AS type,
+  CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN '"1,' || event_id || '"' WHEN 3 THEN 'true' WHEN 4 THEN '"' || event_type || '"' WHEN 5 THEN value::VARCHAR WHEN 6 THEN '[' || event_id || ']' ELSE '""' END AS v FROM events),
+ n AS (SELECT *, replace(trim(v, '"'), ',', '') AS num FROM v)
+ SELECT event_id, type, CASE WHEN v = '""' THEN NULL WHEN type = 'Boolean' THEN CASE WHEN v = 'true' THEN v END WHEN type = 'Int' THEN CASE WHEN regexp_matches(num, '^[0-9]+$') THEN num::BIGINT::VARCHAR END
+  WHEN type = 'Double' THEN CASE WHEN try_cast(num AS DOUBLE) = floor(try_cast(num AS DOUBLE)) THEN floor(num::DOUBLE)::BIGINT::VARCHAR ELSE try_cast(num AS DOUBLE)::VARCHAR END
+  WHEN type LIKE 'String%' THEN CASE WHEN left(v, 1) NOT IN ('{', '[') THEN '"' || CASE WHEN v = 'true' THEN 'True' ELSE trim(v, '"') END || '"' END WHEN type LIKE 'Map%' THEN CASE WHEN v LIKE '{%' THEN v END
+  WHEN type LIKE 'List%' THEN CASE WHEN v LIKE '[%' THEN v END ELSE v END AS example FROM n""")
 def coerce_values(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.regexp_extract("p_brand", "[0-9]+", 0).try_cast("int").alias("brand_no"), c("p_name").try_cast("int").alias("name_no"))
+    """Given values as examples of the types of their members; what cannot be one is null."""
+    k = c("event_id")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    forms = [c("props"), k.cast("string"), text('"1,', k, '"'), F.lit("true"), text('"', c("event_type"), '"'), c("value").cast("string"), text("[", k, "]"), F.lit('""')]
+    given = reduce(lambda w, x: w.when(k % 8 == x[0], x[1]), enumerate(forms), F.when(F.lit(False), ""))
+    types = F.array(*map(F.lit, ("Boolean", "Int", "Double", "String (Date)", "Map<String, Int>", "List<Int>", "Other")))
+    rows = table(spark, d, "events").select("event_id", F.get(types, F.floor(k / 8) % 7).alias("type"), given.alias("v"))
+    return rows.select("event_id", "type", V.coerced(c("v"), c("type"), F.lit(None).cast("array<string>")).alias("example"))
 
 
 @query(r"SELECT doc_id, rule, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'Licensed under [^\n.]+')) AS rule FROM documents) GROUP BY ALL")
