@@ -77,11 +77,12 @@ def host_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return pairs.where("src != dst and dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds: int = 40, cut_every: int = 4, settled: int = NANO // 1_000_000) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds: int = 400, cut_every: int = 4, settled: int = NANO // 1_000_000) -> DataFrame:
     """``side, host, mass`` over ``side, src, dst, n``; ``seeds``: side, host, seed (nano-units).  Sides do not mix.
 
-    Each step a host has its seed and the damped mass of those that link to it.  The steps end after ``rounds``, or once
-    no mass moves by more than ``settled`` in a step (looked at every ``cut_every`` steps).
+    Each step a host has its seed and the damped mass of those that link to it.  The steps end once no mass moves by more
+    than ``settled`` in a step (looked at every ``cut_every`` steps).  What moves shrinks by ``damping`` a step, from all
+    seeds together at most; more than ``rounds`` steps are an error.
     """
     out = links.groupBy("side", "src").agg(F.sum("n").alias("all"))
     shares = materialised(salted_join(links, out, ["side", "src"]).select("side", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
@@ -97,11 +98,11 @@ def spread(seeds: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds:
         if (k + 1) % cut_every == 0:
             now = materialised(now)
             if now.where(F.abs(F.col("mass") - F.col("before")) > settled).isEmpty():
-                break
-    return now.drop("before")
+                return now.drop("before")
+    raise RuntimeError(f"masses still move after {rounds} rounds")
 
 
-def judged(pages: DataFrame, rules: list[Rule] | DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int = 40) -> DataFrame:
+def judged(pages: DataFrame, rules: list[Rule] | DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int = 400) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of each page."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     cut = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
