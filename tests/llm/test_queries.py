@@ -4,6 +4,7 @@ ids, extra columns; their base results against plain Python, and op4 against Duc
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -57,6 +58,10 @@ def folder(spark, texts, tmp_path_factory):
     spark.createDataFrame([(k, 1, k % 2) for k in range(40)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(1, "http://A.com/x", ""), (2, "https://en.example.com/en/1#f", None), (3, None, None), (3, None, None), (4, "x://bad.net/fr/", ""), (5, "x://friend.org/", "<a href=x://bad.net/>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    rnd = random.Random(1)
+    vectors = [(k, [rnd.gauss(k % 4, 1) for _ in range(6)], k % 10) for k in range(300)]
+    vectors += [(300 + k, vectors[50][1], 3) for k in range(20)] + [(400, None, 1), (350, [float("nan")] * 6, 1), (450, [0.5] * 6, None), (500, [None] * 6, 2), (550, [float("inf")] * 6, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -119,6 +124,30 @@ def test_decontamination_equals_sql(spark, folder):
     assert any(r.contaminated for r in rows)
 
 
+def test_hard_negatives_equal_sql(spark, folder):
+    columns, rows = run(spark, folder, "op12_hard_negatives")
+    assert columns[:6] == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    want = db.execute(queries.ORACLE_SQL["op12_hard_negatives"])
+    assert [c[0] for c in want.description] == columns
+    assert rows and by_row(tuple(r) for r in rows) == by_row(want.fetchall())
+
+
+def test_sharding_and_alignment_keep_rows(spark, folder, texts):
+    columns, rows = run(spark, folder, "op11_sharding")
+    assert columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    want = [(k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in texts[0]]
+    assert by_row(tuple(r)[:3] for r in rows) == by_row(want)
+    for shard in {r.shard for r in rows}:
+        assert 0 <= shard < 16 and sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    columns, rows = run(spark, folder, "op13_alignment")
+    assert columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(k) for k, _ in texts[0])
+    assert all((r.n_a == 0) == (r.groups_sha256 == "") and r.n_best <= r.n_links <= r.count_sum for r in rows)
+    assert {r.doc_id for r in rows if not r.n_a} == {None, 43, 44, 49}  # a text with U+2581 reads otherwise in B
+
+
 def test_pipeline(spark, folder, texts):
     """Each stage on the small tables, and the whole: what stays, what is redacted, and the round trip at the end."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
