@@ -11,7 +11,8 @@ The score of a text is the softmax of minus its bits per byte, sharpened by ``sh
 the best two languages are closer than ``margin`` (a share of the best size): the prediction stands, but is not sure.
 
 Defined results: null texts and texts without letters get ``und`` with score 0, as all do if nothing is learnt; of
-languages that encode to the same size the first by name wins; rows with a null label are not learnt from.
+languages that encode to the same size the first by name wins; rows with a null label are not learnt from; only the text
+and label columns are read.  More than ``most_languages`` languages are an error: their dictionaries are broadcast.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ find in at most ``sample_docs`` documents (those with the smallest hash of their
 same documents outside these values.  Counts are taken with Spark and turned into one table of whole micro-units.
 
 Defined results: a null text counts as empty; with no samples of either kind no ``random`` span is found; repeated rows
-are judged alike.
+are judged alike; columns of the input that bear the name of a new one (``secret_*``) give way to it, and ``secret_body``
+and ``secret_weights`` are dropped.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ an index, in which the allowed differences grow with the number of bits compared
 early; candidates are near in all fingerprints together and are then compared exactly.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; repeated rows each get a row;
-a null id stands in no minimum, and a component of null ids only has a null component id.
+a null id stands in no minimum, and a component of null ids only has a null component id; ``similar`` keeps all columns
+but ones named ``__row`` or ``__s``, which give way to its own.
 """
 
 from __future__ import annotations

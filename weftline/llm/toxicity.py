@@ -14,7 +14,8 @@ one kind more than of the other, the log odds are moved back to the ratio of all
 taken changes how well texts are told apart, but not how many are called toxic.
 
 Defined results: texts without words (null, empty) get the bias alone; with no labels, or labels of one kind only, all
-scores are 0 and nothing is predicted toxic; rows with a null label or text are not learnt from.
+scores are 0 and nothing is predicted toxic; rows with a null label or text are not learnt from; of the tables only the
+id, text and label columns are read.
 """
 
 from __future__ import annotations

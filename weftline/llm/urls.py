@@ -17,7 +17,8 @@ Joins by host are salted: a host may hold a third of all pages or links.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is judged as the host
 ``''``; pages without links and hosts without pages have no out-links; repeated pages count again; of rules that are
-equally long the first in order of text decides; without rules nothing is a seed and all is allowed.
+equally long the first in order of text decides; without rules nothing is a seed and all is allowed; other columns than
+the id, url and html are not read.
 """
 
 from __future__ import annotations
