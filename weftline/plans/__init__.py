@@ -1,3 +1,3 @@
 """The registered lineage queries; importing the package registers all of them."""
 
-from weftline.plans import catalog, declarations, documents, resolutions, scalars, states, structures, traversals  # noqa: F401
+from weftline.plans import catalog, declarations, documents, endpoints, resolutions, scalars, states, structures, traversals  # noqa: F401
