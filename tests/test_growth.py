@@ -31,3 +31,13 @@ def test_same_rules_are_matched_once(spark, seen):
     got = rules.matched(df, asked, key="id", equal=["kind"], like=["name"])
     assert got.count() == 20 * 32 and got.distinct().count() == 20 * 31
     assert sizes == [1]
+
+
+def test_names_of_a_scope_are_met_once(spark, seen):
+    sizes = seen(receivers, "best_per_key", lambda df, keys, order: df if keys == ["call"] else df.limit(0))
+    calls = spark.createDataFrame([(k, "A", "m", ["p"]) for k in range(5)], "call long, type string, method string, chain array<string>")
+    scope = spark.createDataFrame([("m", "p", 3_000_000_000 - r, f"T{r}") for r in range(40)], "method string, name string, rank long, target string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = receivers.receiver_types(calls, scope, none("type string, name string, target string"), none("owner string, name string"), none("type string, name string, target string"), none("type string, seq int, super string"))
+    assert {(r.call, r.receiver) for r in got.collect()} == {(k, "T39") for k in range(5)}
+    assert max(sizes) == 5

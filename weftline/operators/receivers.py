@@ -42,14 +42,17 @@ def receiver_types(calls: DataFrame, scope: DataFrame, fields: DataFrame, consta
     answer = lambda df, rank: df.select("call", rank.alias("rank"), "used", "target")
     once = F.lit(1).alias("used")
     said = lambda df: df.withColumnRenamed("name", "head")
+    # only the first of a name's meanings can count: calls never meet all that a scope or a type has
+    scope = best_per_key(scope.select("method", "name", "rank", "target"), ["method", "name"], F.struct("rank", "target"))
+    names = best_per_key(names.where("target IS NOT NULL").select("type", "name", "target"), ["type", "name"], F.col("target"))
     found = [
-        answer(open_.join(said(scope.select("method", "name", F.col("rank").alias("of"), "target")), ["method", "head"]).withColumn("used", once), F.struct(F.lit(0).alias("stage"), F.col("of").cast("int").alias("in"))),
-        answer(open_.join(said(fields.select("type", "name", "target")), ["type", "head"]).withColumn("used", once), F.struct(F.lit(1).alias("stage"), F.lit(0).alias("in"))),
+        answer(open_.join(said(scope.select("method", "name", F.col("rank").alias("of"), "target")), ["method", "head"]).withColumn("used", once), F.struct(F.lit(0).alias("stage"), F.col("of").cast("long").alias("in"))),
+        answer(open_.join(said(fields.select("type", "name", "target")), ["type", "head"]).withColumn("used", once), F.struct(F.lit(1).alias("stage"), F.lit(0).cast("long").alias("in"))),
     ]
     capital = open_.where(F.left("head", F.lit(1)).rlike(r"^\p{Lu}"))
     prefixes = capital.select("call", "type", F.posexplode(F.transform("chain", lambda x, i: F.array_join(F.slice("chain", 1, i + 1), "."))).alias("at", "name"))
-    typed = prefixes.join(names.where("target IS NOT NULL"), ["type", "name"]).withColumn("used", F.col("at") + 1)
-    found.append(answer(typed, F.struct(F.lit(2).alias("stage"), F.col("used").cast("int").alias("in"))))
+    typed = prefixes.join(names, ["type", "name"]).withColumn("used", F.col("at") + 1)
+    found.append(answer(typed, F.struct(F.lit(2).alias("stage"), F.col("used").cast("long").alias("in"))))
     heads = best_per_key(reduce(DataFrame.unionByName, found), ["call"], F.struct("rank", "target"))
     at = materialised(open_.select("call", "chain").join(heads.select("call", "used", F.col("target").alias("cur")), "call", "left"))
     done = []
