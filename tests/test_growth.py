@@ -41,3 +41,12 @@ def test_names_of_a_scope_are_met_once(spark, seen):
     got = receivers.receiver_types(calls, scope, none("type string, name string, target string"), none("owner string, name string"), none("type string, name string, target string"), none("type string, seq int, super string"))
     assert {(r.call, r.receiver) for r in got.collect()} == {(k, "T39") for k in range(5)}
     assert max(sizes) == 5
+
+
+def test_inherited_methods_are_not_broadcast(spark):
+    asked = spark.createDataFrame([("A", "m", 0)], "type string, name string, argc int")
+    up = spark.createDataFrame([("A", "A", 0), ("A", "B", 1)], "src string, dst string, depth int")
+    methods = spark.createDataFrame([("B", "m", "m()", 0, False, True, 0)], "owner string, name string, signature string, params int, varargs boolean, has_body boolean, seq int")
+    found = receivers.first_methods(asked, up, methods)
+    assert [r.owner for r in found.collect()] == ["B"]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -80,7 +80,8 @@ def first_methods(asked: DataFrame, ancestors: DataFrame, methods: DataFrame) ->
     up = ancestors.select(F.col("src").alias("type"), F.col("dst").alias("owner"), "depth")
     n, argc = F.col("params"), F.col("argc")
     fits = (n == argc) | (F.col("varargs") & (argc >= n - 1))
-    held = asked.select("type", "name", "argc").distinct().join(up, "type").join(methods, ["owner", "name"]).where(fits)
+    # written tables are small on disk, so their sizes say little: merged, not broadcast
+    held = asked.select("type", "name", "argc").distinct().join(up.hint("merge"), "type").join(methods.hint("merge"), ["owner", "name"]).where(fits)
     return best_per_key(held, ["type", "name", "argc"], F.struct("depth", "owner", "seq")).select("type", "name", "argc", "owner", "signature", "has_body", "depth")
 
 
@@ -102,21 +103,21 @@ def call_targets(calls: DataFrame, ancestors: DataFrame, methods: DataFrame, imp
     below = ancestors.where("depth > 0").select(F.col("dst").alias("owner"), F.col("src").alias("under"))
     direct = found.select(*keys, target.alias("target"), F.lit(False).alias("impl"))
 
-    abstract = found.where("NOT has_body").join(below, "owner").select(*keys, F.col("under").alias("owner"))
+    abstract = found.where("NOT has_body").join(below.hint("merge"), "owner").select(*keys, F.col("under").alias("owner"))
     n, argc = F.col("params"), F.col("argc")
-    declared = abstract.join(methods, ["owner", "name"]).where((n == argc) | (F.col("varargs") & (argc >= n - 1)))
+    declared = abstract.join(methods.hint("merge"), ["owner", "name"]).where((n == argc) | (F.col("varargs") & (argc >= n - 1)))
     declared = best_per_key(declared.select(*keys, "owner", "signature", "has_body", "seq"), [*keys, "owner"], F.struct("seq")).where("has_body")
     bodies = declared.select(*keys, target.alias("target"), F.lit(True).alias("impl"))
 
-    missing = asked.join(found.select(*keys), keys, "left_anti")
-    lower = materialised(missing.where("NOT own").join(below.withColumnRenamed("owner", "type"), "type"))
+    missing = asked.join(found.select(*keys).hint("merge"), keys, "left_anti")
+    lower = materialised(missing.where("NOT own").join(below.withColumnRenamed("owner", "type").hint("merge"), "type"))
     theirs = first_methods(lower.select(F.col("under").alias("type"), "name", "argc"), ancestors, methods)
-    lower = lower.join(theirs.select(F.col("type").alias("under"), "name", "argc", "owner", "signature"), ["under", "name", "argc"])
+    lower = lower.join(theirs.select(F.col("type").alias("under"), "name", "argc", "owner", "signature").hint("merge"), ["under", "name", "argc"])
     lower = lower.select(*keys, target.alias("target"), F.lit(True).alias("impl")).distinct()
 
-    static = missing.where("own").join(imports.withColumnRenamed("owner", "from_type"), "type").where("member IS NULL OR member = name")
+    static = missing.where("own").join(imports.withColumnRenamed("owner", "from_type").hint("merge"), "type").where("member IS NULL OR member = name")
     theirs = first_methods(static.select(F.col("from_type").alias("type"), "name", "argc"), ancestors, methods)
-    static = static.join(theirs.select(F.col("type").alias("from_type"), "name", "argc", "owner", "signature"), ["from_type", "name", "argc"])
+    static = static.join(theirs.select(F.col("type").alias("from_type"), "name", "argc", "owner", "signature").hint("merge"), ["from_type", "name", "argc"])
     static = best_per_key(static.select(*keys, "seq", "owner", "signature"), keys, F.struct("seq", "owner", "signature")).select(*keys, target.alias("target"), F.lit(False).alias("impl"))
 
     by_other = reduce(DataFrame.unionByName, [direct, bodies, lower]).withColumn("own", F.lit(False))

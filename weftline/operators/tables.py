@@ -97,11 +97,17 @@ def numbered(df: DataFrame, order: list[str | Column], total: Column | None = No
     return out.drop("__part", "__n0", "__v0", *([] if total is not None else ["running"]))
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """``many`` joined with ``one`` (each key once), the rows of a key dealt to ``salts`` tasks by a hash of the row."""
-    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
-    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(each, [key, "__salt"], how).drop("__salt")
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", most: int = 20_000) -> DataFrame:
+    """``many`` joined with ``one`` (each key once); a key with more than ``most`` rows is dealt to several tasks by a hash
+    of the row.  Only the rows of ``one`` for such keys are repeated, once for each ``most`` rows."""
+    hot = many.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hot = F.broadcast(materialised(hot.select("__hot", F.expr(f"n div {most} + 1").alias("__salts"))))  # one in ``most`` rows at the most
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+    dealt = many.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(*many.columns), salts))
+    each = one.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    gone = ["__hot", "__salts"]
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows may hold long lists
+    return dealt.drop(*gone).repartition(tasks, key, "__salt").join(each.drop(*gone), [key, "__salt"], how).drop("__salt")
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str, *, missing_roots: list[str] | None = None) -> DataFrame:
