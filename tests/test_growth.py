@@ -24,6 +24,16 @@ def seen(monkeypatch):
     return watch
 
 
+def test_leaves_are_not_ranked(spark, seen):
+    sizes = seen(preorder, "list_ranks")
+    rows = [(0, 1, 1), (0, 2, 2), *((m, leaf, leaf) for m in (1, 2) for leaf in range(10, 60))]
+    got = preorder.preorder(spark.createDataFrame(rows, "src long, dst long, seq long"), spark.createDataFrame([(0,)], "root long"))
+    want = [(0, None), (1, 0), *((leaf, 1) for leaf in range(10, 60)), (2, 0)]
+    assert [(r.node, r.parent) for r in got.orderBy("number").collect()] == want
+    # two events for each of 51 heads and 2 inner nodes; the 100 leaves are in none
+    assert sizes == [2 * 53]
+
+
 def test_same_rules_are_matched_once(spark, seen):
     sizes = seen(rules, "spread_join", lambda many, one, key: one.select(F.explode("rules")))
     df = spark.createDataFrame([(k, "part", "large ring") for k in range(20)], "id long, kind string, name string")
