@@ -60,3 +60,22 @@ def test_inherited_methods_are_not_broadcast(spark):
     found = receivers.first_methods(asked, up, methods)
     assert [r.owner for r in found.collect()] == ["B"]
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_walk_together(spark, seen):
+    sizes = seen(graph, "materialised")
+    e = spark.createDataFrame([(f"r{k}", "hub") for k in range(130)] + [("hub", f"n{k}") for k in range(40)] + [("n1", "hub")], "src string, dst string")
+    roots = spark.createDataFrame([(f"r{k}", f"r{k}") for k in range(130)], "root string, node string")
+    got = graph.distance(roots, e, None, key=["root"], also={"size": F.length("node")})
+    want = {(f"r{k}", n, d, len(n)) for k in range(130) for n, d in [(f"r{k}", 0), ("hub", 1), *((f"n{j}", 2) for j in range(40))]}
+    assert sorted(map(tuple, got.select("root", "node", "depth", "size").collect())) == sorted(want)
+    assert max(sizes[1:]) <= 171  # edges, or 40 nodes for 3 words of keys; not 130 * 40 rows
+
+
+def test_budget_leaves_out_levels_before_it_sorts(spark):
+    rows = [(r, f"n{d}-{k:03}", d) for r in ("a", None) for d in (0, 1, 2) for k in range(1 if d == 0 else 200)]
+    got = graph.within_budget(spark.createDataFrame(rows, "root string, node string, depth int"), F.lit(100), key=["root"], budget=1000, least=100)
+    want = [("n0-000", 1, 0), *((f"n1-{k:03}", k + 2, 100 * (k + 1)) for k in range(8))]
+    for root in ("a", None):
+        assert sorted((r.node, r.seq, r.spent) for r in got.where(F.col("root").eqNullSafe(root)).collect()) == want
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -44,8 +44,8 @@ def reach_from_customers(spark, d):
 def controller_graph(spark, d):
     """All entities that hang on each nation, with their depth and a short digest."""
     start = table(spark, d, "nation").select(node("nation", c("n_nationkey")).alias("root"), node("nation", c("n_nationkey")).alias("node"))
-    near = graph.distance(start, graph.reversed_edges(edges(spark, d)), 8, key=["root"], cut=True)
-    return near.select("root", "node", "depth", F.substring(F.sha2("node", 256), 1, 12).alias("digest"))
+    near = graph.distance(start, graph.reversed_edges(edges(spark, d)), 8, key=["root"], also={"digest": F.substring(F.sha2("node", 256), 1, 12)})
+    return near.select("root", "node", "depth", "digest")
 
 
 PARTS_SQL = "edges AS (SELECT p_partkey AS src, p_partkey // 10 AS dst FROM part WHERE p_partkey // 10 > 0)"
