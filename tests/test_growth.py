@@ -79,3 +79,13 @@ def test_budget_leaves_out_levels_before_it_sorts(spark):
     for root in ("a", None):
         assert sorted((r.node, r.seq, r.spent) for r in got.where(F.col("root").eqNullSafe(root)).collect()) == want
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_closure_without_circles(spark, monkeypatch):
+    def refused(edges):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(inheritance, "closure", refused)
+    refs = spark.createDataFrame([("b", 1, "a", ["X"]), ("c", 1, "b", ["List<T>"])], "child string, seq int, parent string, args array<string>")
+    got = inheritance.inherited_bindings(refs, spark.createDataFrame([("a", ["T"]), ("b", ["T"])], "type string, names array<string>"))
+    assert {(r.child, r.ancestor): dict(r.bindings) for r in got.collect()} == {("b", "a"): {"T": "X"}, ("c", "b"): {"T": "List<T>"}, ("c", "a"): {"T": "X"}}

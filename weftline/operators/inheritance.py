@@ -66,6 +66,21 @@ def substituted(types: Column, bindings: Column) -> Column:
     return of(types, bindings)
 
 
+def _core(links: DataFrame) -> DataFrame | None:
+    """``child, parent``: what is left of the links once types without parents and types without children are taken off,
+    again and again: all circles and the ways between them, or None.  A round costs what is left."""
+    left = materialised(links)
+    n = left.count()
+    while n:
+        rest = left.join(left.select(F.col("child").alias("parent")).distinct().hint("merge"), "parent", "left_semi")
+        rest = rest.join(left.select(F.col("parent").alias("child")).distinct().hint("merge"), "child", "left_semi")
+        left = materialised(rest.select("child", "parent"))
+        was, n = n, left.count()
+        if was == n:
+            return left
+    return None
+
+
 def inherited_bindings(refs: DataFrame, params: DataFrame) -> DataFrame:
     """``child, ancestor, bindings``: what a type's ancestors' variables stand for, in the type's own terms.
 
@@ -81,8 +96,11 @@ def inherited_bindings(refs: DataFrame, params: DataFrame) -> DataFrame:
     known = refs.join(params.select(F.col("type").alias("parent"), "names"), "parent")
     direct = F.map_from_arrays(F.slice("names", 1, n), F.slice("args", 1, n))
     edges = known.select("child", "seq", "parent", F.when(n > 0, direct).otherwise(F.create_map().cast("map<string,string>")).alias("direct"))
-    back = closure(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).where("depth > 0").select(F.col("src").alias("parent"), F.col("dst").alias("child"))
-    edges = materialised(edges.where("child != parent").join(back, ["child", "parent"], "left_anti"))
+    edges = materialised(edges.where("child != parent"))
+    core = _core(edges.select("child", "parent").distinct())
+    if core is not None:
+        back = closure(core.select(F.col("child").alias("src"), F.col("parent").alias("dst"))).where("depth > 0").select(F.col("src").alias("parent"), F.col("dst").alias("child"))
+        edges = materialised(edges.join(back, ["child", "parent"], "left_anti"))
     waiting = materialised(edges.select("child").distinct())
     found: list[DataFrame] = []
     while not waiting.isEmpty():
