@@ -89,3 +89,8 @@ def test_no_closure_without_circles(spark, monkeypatch):
     refs = spark.createDataFrame([("b", 1, "a", ["X"]), ("c", 1, "b", ["List<T>"])], "child string, seq int, parent string, args array<string>")
     got = inheritance.inherited_bindings(refs, spark.createDataFrame([("a", ["T"]), ("b", ["T"])], "type string, names array<string>"))
     assert {(r.child, r.ancestor): dict(r.bindings) for r in got.collect()} == {("b", "a"): {"T": "X"}, ("c", "b"): {"T": "List<T>"}, ("c", "a"): {"T": "X"}}
+
+
+def test_all_good_documents_are_learnt_from(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality._good(labels, "doc_id", "quality", False).count() + quality._good(labels, "doc_id", "quality", True).count() == 60_000

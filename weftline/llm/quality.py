@@ -1,8 +1,8 @@
 """Quality rules: surface counts and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
 Two multinomials over ``buckets`` hashed word n-grams (one and two words) for each language: the raw corpus, from every
-whole text, and the trusted target, from at most ``target_docs`` documents labelled good (those with the smallest hash
-of their id; the bound keeps the list of ids small enough to broadcast).  A document's score is the mean log-likelihood
+whole text, and the trusted target, from every document labelled good (their ids are broadcast up to a million and
+shuffled above).  A document's score is the mean log-likelihood
 ratio of its n-grams under its language's pair, so that a language with few documents is not held against another's.
 Weights are whole micro-units, so sums do not depend on the order of rows.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import held_out, materialised
+from weftline.llm.common import held_out, materialised, small
 
 BLANKS = " \t\n\x0b\f\r"
 MICRO = 1_000_000
@@ -105,17 +105,17 @@ def _language(docs: DataFrame, lang: str | None) -> Column:
     return F.coalesce(F.col(lang), F.lit("")) if lang in docs.columns else F.lit("")
 
 
-def _good(labels: DataFrame, label_id: str, quality: str, held: bool, most: int) -> DataFrame:
-    """Ids of documents labelled good, of the held-out fold or of the rest."""
+def _good(labels: DataFrame, label_id: str, quality: str, held: bool) -> DataFrame:
+    """Ids of all documents labelled good, of the held-out fold or of the rest."""
     good = labels.where((F.col(quality) == 1) & F.col(label_id).isNotNull() & (held_out(F.col(label_id)) == F.lit(held)))
-    return good.select(F.col(label_id).alias("good")).distinct().orderBy(F.xxhash64("good"), "good").limit(most)
+    return small(materialised(good.select(F.col(label_id).alias("good")).distinct()))
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label_id: str = "doc_id", quality: str = "quality", buckets: int = 1 << 14, target_docs: int = 20_000) -> DataFrame:
+def bucket_weights(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label_id: str = "doc_id", quality: str = "quality", buckets: int = 1 << 14) -> DataFrame:
     """One row: ``weights``, by language the log-likelihood ratio of target to raw corpus by bucket, in micro-units."""
-    good = _good(labels, label_id, quality, False, target_docs)
+    good = _good(labels, label_id, quality, False)
     body = docs.select(F.col(doc_id).alias("id"), _language(docs, lang).alias("lang"), F.col(text).alias("body"))
-    marked = body.join(F.broadcast(good), F.col("id") == F.col("good"), "left")
+    marked = body.join(good, F.col("id") == F.col("good"), "left")
     hashed = marked.select("lang", F.col("good").isNotNull().alias("target"), word_hashes(words(F.col("body"))).alias("hashes"))
     grams = hashed.select("lang", "target", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
     counted = materialised(grams.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target")))
@@ -139,11 +139,11 @@ def _score(hashes: Column, weights: Column, buckets: int) -> Column:
     return F.coalesce(total, F.lit(0)) / F.greatest(2 * F.size(hashes) - 1, F.lit(1)) / MICRO
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, weights: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label_id: str = "doc_id", quality: str = "quality", buckets: int = 1 << 14, held_out_docs: int = 20_000, reject: float = 0.01, least_held_out: int = 50) -> DataFrame:
+def thresholds(docs: DataFrame, labels: DataFrame, weights: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label_id: str = "doc_id", quality: str = "quality", buckets: int = 1 << 14, reject: float = 0.01, least_held_out: int = 50) -> DataFrame:
     """One row: ``by_lang`` (language to threshold) and ``pooled``, from held-out documents labelled good."""
-    good = _good(labels, label_id, quality, True, held_out_docs)
+    good = _good(labels, label_id, quality, True)
     body = docs.select(F.col(doc_id).alias("id"), _language(docs, lang).alias("lang"), F.col(text).alias("body"))
-    sample = body.join(F.broadcast(good), F.col("id") == F.col("good"), "left_semi").select("lang", word_hashes(words(F.col("body"))).alias("hashes"))
+    sample = body.join(good, F.col("id") == F.col("good"), "left_semi").select("lang", word_hashes(words(F.col("body"))).alias("hashes"))
     sample = sample.withColumn("w", F.try_element_at(weights.scalar(), F.col("lang")))
     # short texts count for nothing; a filter on their size would be pushed below the join, and hash all documents
     scored = sample.select("lang", F.when(F.size("hashes") >= 50, _score(F.col("hashes"), F.col("w"), buckets)).alias("score"))
@@ -153,7 +153,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, weights: DataFrame, *, doc_id
     return each.agg(by_lang.alias("by_lang")).select(F.struct("by_lang", pooled.scalar().alias("pooled")).alias("least"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", reject: float = 0.01, buckets: int = 1 << 14, target_docs: int = 20_000, prefix: str = "q_") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", reject: float = 0.01, buckets: int = 1 << 14, prefix: str = "q_") -> DataFrame:
     """``docs`` with ``<prefix>`` columns: the surface counts, base_failed, score (mean ratio), threshold and kept.
 
     To filter by them use an exploded flag or a written table, as corpus_pipeline does: a filter would be pushed below the
@@ -161,7 +161,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     """
     p = lambda name: f"{prefix}{name}"
     columns = {"doc_id": doc_id, "text": text, "lang": lang, "buckets": buckets}
-    weights = materialised(bucket_weights(docs, labels, target_docs=target_docs, **columns))
+    weights = materialised(bucket_weights(docs, labels, **columns))
     least = materialised(thresholds(docs, labels, weights, reject=reject, **columns)).scalar()
     df = docs.withColumn(p("of_lang"), _language(docs, lang))
     df = surface(df, text, prefix).withColumns({p("weights"): F.try_element_at(weights.scalar(), F.col(p("of_lang"))), p("threshold"): F.coalesce(F.try_element_at(least["by_lang"], F.col(p("of_lang"))), least["pooled"])})
