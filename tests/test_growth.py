@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm import quality
 from weftline.operators import graph, inheritance, preorder, receivers, rules
+from weftline.plans import catalog
+from weftline.sources import tables
 
 
 @pytest.fixture
@@ -94,3 +96,19 @@ def test_no_closure_without_circles(spark, monkeypatch):
 def test_all_good_documents_are_learnt_from(spark):
     labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert quality._good(labels, "doc_id", "quality", False).count() + quality._good(labels, "doc_id", "quality", True).count() == 60_000
+
+
+def test_tasks_hold_bounded_shares_of_edges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 1_000, raising=False)
+    for name in ("customer", "supplier", "nation", "region", "part", "orders"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    # each row twice, and rows without keys: each pair is an edge once, an edge without source counts
+    line.union(line).unionByName(line.limit(1).withColumn("l_orderkey", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = tables.edges(spark, str(tmp_path)).where(F.col("kind") == "contains_part")
+    shares = [r["count"] for r in e.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(shares) < 1_500 and sum(shares) == e.distinct().count()
+    every = tables.edges(spark, str(tmp_path))
+    want = (every.count(), 25, every.where("src IS NOT NULL").select("src").distinct().count())
+    r = catalog.graph_stats(spark, str(tmp_path)).first()
+    assert (r.edges, r.region_edges, r.sources) == want

@@ -12,7 +12,7 @@ from weftline.operators import graph
 from weftline.operators.resolution import two_smallest
 from weftline.operators.tables import best_per_key, diff, numbered
 from weftline.plans.registry import query
-from weftline.sources.tables import EDGES_SQL, SYMBOLS_SQL, edges, node, symbols, table
+from weftline.sources.tables import EDGES_SQL, SYMBOLS_SQL, edges, node, symbols, table, tasks
 
 c = F.col
 
@@ -85,7 +85,10 @@ def shadowed_members(spark, d):
 @query(f"WITH {EDGES_SQL}, {SYMBOLS_SQL} SELECT (SELECT count(*) FROM symbols) AS symbols, count(*) AS edges, count(*) FILTER (dst LIKE 'region:%') AS region_edges, count(DISTINCT src) AS sources FROM edges")
 def graph_stats(spark, d):
     n = symbols(spark, d).agg(F.count(F.lit(1)).alias("symbols"))
-    e = edges(spark, d).agg(F.count(F.lit(1)).alias("edges"), F.count_if(c("dst").startswith("region:")).alias("region_edges"), F.count_distinct("src").alias("sources"))
+    e = edges(spark, d).select("src", c("dst").startswith("region:").alias("up"))
+    each = e.repartition(tasks(table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")), "src").groupBy("src")
+    each = each.agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("up"))  # a null source is no source, its edges count
+    e = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.sum("up"), F.lit(0)).alias("region_edges"), F.count("src").alias("sources"))
     return n.withColumn("one", F.lit(1)).join(e.withColumn("one", F.lit(1)), "one").drop("one")
 
 

@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows whose keys one task holds at once, on average, where rows are told apart.
+ROWS_A_TASK = 500_000
+
+
+def tasks(*dfs: DataFrame) -> int:
+    """Among how many tasks the rows of these tables are dealt, so that a task's share does not grow with them."""
+    return max(1, -(-sum(df.count() for df in dfs) // ROWS_A_TASK))
+
+
+def distinct_rows(df: DataFrame, n: int) -> DataFrame:
+    """Each row once.  Rows are dealt before they are told apart: a task holds the keys of its share, not of a whole split
+    or of what little space compressed keys take in a shuffle."""
+    return df.repartition(n, *df.columns).distinct()
+
+
 def node(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), key.cast("string"))
 
@@ -21,10 +36,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     c = F.col
     line = t("lineitem")
+    n = tasks(line)
     parts = [
         t("orders").select(node("order", c("o_orderkey")).alias("src"), node("customer", c("o_custkey")).alias("dst"), F.lit("placed_by").alias("kind")),
-        line.select("l_orderkey", "l_partkey").distinct().select(node("order", c("l_orderkey")).alias("src"), node("part", c("l_partkey")).alias("dst"), F.lit("contains_part").alias("kind")),
-        line.select("l_partkey", "l_suppkey").distinct().select(node("part", c("l_partkey")).alias("src"), node("supplier", c("l_suppkey")).alias("dst"), F.lit("supplied_by").alias("kind")),
+        distinct_rows(line.select("l_orderkey", "l_partkey"), n).select(node("order", c("l_orderkey")).alias("src"), node("part", c("l_partkey")).alias("dst"), F.lit("contains_part").alias("kind")),
+        distinct_rows(line.select("l_partkey", "l_suppkey"), n).select(node("part", c("l_partkey")).alias("src"), node("supplier", c("l_suppkey")).alias("dst"), F.lit("supplied_by").alias("kind")),
         t("customer").select(node("customer", c("c_custkey")).alias("src"), node("nation", c("c_nationkey")).alias("dst"), F.lit("in_nation").alias("kind")),
         t("supplier").select(node("supplier", c("s_suppkey")).alias("src"), node("nation", c("s_nationkey")).alias("dst"), F.lit("in_nation").alias("kind")),
         t("nation").select(node("nation", c("n_nationkey")).alias("src"), node("region", c("n_regionkey")).alias("dst"), F.lit("in_region").alias("kind")),
