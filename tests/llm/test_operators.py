@@ -351,3 +351,31 @@ def test_empty_tables(spark, docs):
     assert chunks.repeats(none).count() == 0 and language.learn(none) == {}
     assert len(toxicity.fit(none, labels)[0]) == 0
     assert urls.judged(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
+
+
+def test_toxicity_stems_take_unseen_endings():
+    bits, rnd = 18, random.Random(5)
+    word = lambda: "".join(rnd.choice("aeinrst") for _ in range(6))
+    m = toxicity.Ftrl(np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1), 0.5, 1.0, 1.0, 0.0)
+    for n in range(400):
+        bad = n % 2
+        body = " ".join([*(word() for _ in range(12)), f"vequ{word()}" if bad else word()])
+        k, count = np.unique(np.concatenate(toxicity.features(body, bits)).astype(np.int64), return_counts=True)
+        m.learn(np.append(k, 1 << bits), np.append(count, 1.0), bad)
+    w = m.weights()
+    top = lambda t: toxicity.window_sums(toxicity.features(t, bits), w[:-1], 24).max() + w[-1]
+    clean = [" ".join(word() for _ in range(13)) for _ in range(50)]
+    assert np.mean([top(f"{t} vequ{word()}") > 0 for t in clean]) > 0.9 and np.mean([top(t) > 0 for t in clean]) < 0.1
+
+
+def test_toxicity_calibration_does_not_run_away():
+    logit = np.array([-12.0] * 50 + [-4.0] * 50 + [-9.0] * 40 + [3.0] * 20)
+    y = np.array([0.0] * 100 + [1.0] * 60)
+    slope, shift = toxicity.calibrated(1 / (1 + np.exp(-logit)), y)
+    q = 1 / (1 + np.exp(-(slope * logit + shift)))
+    assert 0.1 <= slope < 2 and abs(q.sum() - y.sum()) < 2
+    # and where whole steps led to a slope of thousands: far apart, with few labels that say otherwise
+    logit = np.array([-20.0] * 300 + [-2.0] * 3 + [-6.0] * 200 + [5.0] * 100)
+    y = np.array([0.0] * 303 + [1.0] * 300)
+    slope, shift = toxicity.calibrated(1 / (1 + np.exp(-logit)), y)
+    assert 0.1 <= slope < 5 and abs(shift) < 50

@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the hashes of its lower-cased words, of neighbouring pairs, and of pairs with one word between
-them, counted.  A text is judged by its windows of ``window`` words (half overlapping): its score is the highest of its
+Features of a text are the hashes of its lower-cased words, of their beginnings (stems take many endings, most of them
+seen in no label), of neighbouring pairs, and of pairs with one word between them, counted.  A text is judged by its windows of ``window`` words (half overlapping): its score is the highest of its
 windows', so that a few words in a long text weigh as in a short one.
 
 Training reads at most ``sample_docs`` labelled documents (half for either label, those with the smallest hashes of
@@ -35,13 +35,22 @@ WORD = re.compile(r"\w+")
 MICRO = 1_000_000
 
 
-def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets of words, neighbouring pairs and pairs with a gap, each by the place of its first word."""
+#: Code points of the beginnings of words that are features beside the words: stems that take many endings.
+STEMS = (4, 5, 6)
+#: How many words a feature of each kind reaches beyond its first.
+LAGS = (0, *(0 for _ in STEMS), 1, 2)
+
+
+def features(text: str | None, bits: int) -> tuple[np.ndarray, ...]:
+    """The buckets of words, of their beginnings, of neighbouring pairs and pairs with a gap, each by the place of its first word."""
     import xxhash
 
-    h = np.array([xxhash.xxh32_intdigest(w) for w in WORD.findall((text or "").lower())], np.uint64)
+    words = WORD.findall((text or "").lower())
+    code = xxhash.xxh32_intdigest
+    h = np.array([code(w) for w in words], np.uint64)
     fold = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    return fold(h), fold(h[:-1] * np.uint64(31) + h[1:]), fold(h[:-2] * np.uint64(127) + h[2:] + np.uint64(1))
+    stems = [fold(np.array([code(w[:n]) for w in words], np.uint64) * np.uint64(8191) + np.uint64(n)) for n in STEMS]
+    return fold(h), *stems, fold(h[:-1] * np.uint64(31) + h[1:]), fold(h[:-2] * np.uint64(127) + h[2:] + np.uint64(1))
 
 
 def window_sums(grams: tuple[np.ndarray, ...], weights: np.ndarray, window: int) -> np.ndarray:
@@ -49,7 +58,7 @@ def window_sums(grams: tuple[np.ndarray, ...], weights: np.ndarray, window: int)
     n = len(grams[0])
     starts = np.arange(0, max(1, n - window // 2), window // 2)
     total = np.zeros(len(starts))
-    for lag, x in enumerate(grams):
+    for lag, x in zip(LAGS, grams, strict=True):
         running = np.append(0.0, np.cumsum(weights[x]))
         ends = np.minimum(starts + window - lag, len(x))
         total += running[np.maximum(ends, 0)] - running[np.minimum(starts, len(x))] * (ends >= starts) - running[np.maximum(ends, 0)] * (ends < starts)
@@ -107,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                 grams = features(body, bits)
                 if turn and len(grams[0]) > window:  # noqa: B023
                     at = int(np.argmax(window_sums(grams, w0, window))) * (window // 2)
-                    grams = tuple(x[at : max(at, at + window - lag)] for lag, x in enumerate(grams))
+                    grams = tuple(x[at : max(at, at + window - lag)] for lag, x in zip(LAGS, grams, strict=True))
                 k, count = np.unique(np.concatenate(grams).astype(np.int64), return_counts=True)
                 count = count if turn else np.ones(len(k))  # noqa: B023
                 m.learn(np.append(k, 1 << bits), np.append(count, 1.0), y)
@@ -138,9 +147,13 @@ def calibrated(p: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, fl
     at = np.array([1.0, 0.0])
     if len(set(y.tolist())) < 2:
         return 1.0, 0.0
+    loss = lambda at: np.logaddexp(0, x @ at).sum() - y @ (x @ at) + ((at - [1.0, 0.0]) ** 2).sum() / 2
     for _ in range(steps):  # Newton's method; a prior of unit weight holds it near slope 1, shift 0
-        q = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        at = at + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), x.T @ (y - q) - (at - [1.0, 0.0]))
+        q = 1 / (1 + np.exp(-np.clip(x @ at, -700, 700)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), x.T @ (y - q) - (at - [1.0, 0.0]))
+        while loss(at + step) > loss(at) and np.abs(step).max() > 1e-9:  # a whole step may lead away
+            step = step / 2
+        at = at + step
     return max(float(at[0]), 0.1), float(at[1])
 
 
