@@ -58,6 +58,19 @@ def test_pieces_equal_the_library(docs, texts):
         assert r.p.decoded_sha256 == hashlib.sha256(c.library.decode(ids).encode() if ids else b"").hexdigest()
 
 
+def test_longest_pieces_that_fit_are_not_walked_again(monkeypatch):
+    c = pieces.PieceCoder(piece_model())
+    walked, was = [], c.backtracked
+    monkeypatch.setattr(c, "backtracked", lambda run, out, at: walked.append((run, at)) or was(run, out, at))
+    words = ["▁the", "▁nation", "▁whereas", "▁idiotic", "▁erblehwh", "▁thonreaner", "▁queñ", "▁aab" * 5, "▁unhappinessly"]
+    for w in words:
+        assert c.split(w) == c.library.encode(w[1:])  # it puts the first sign there itself
+    assert ("▁the", 0) not in walked and len(walked) < len(words)
+    # an entry of the memos is the ids alone
+    assert c.encode("the nation, the end") == c.library.encode("the nation, the end")
+    assert all(type(i) is int for memo in (c.stem, c.segment) for ids in memo.values() for i in ids)
+
+
 def test_quality_counts(docs, spark):
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1)], "doc_id long, quality int")
     rows = quality.judged(docs.select("doc_id", "text"), labels, prefix="").collect()

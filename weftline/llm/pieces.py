@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NEVER = float("-inf")
+#: No piece; and the bits that an id takes in the number of a pair of ids.
+NONE, PAIR = -1, 20
 #: Places inside a segment where it is cut once more, as long as no piece of the vocabulary holds such a place.
 CUT = "(?<=[A-Za-z\u00c0-\u00ff])(?=[\\n.,:;!?|*&%$#\"()'-])|(?<=\\n)(?=.)"
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -38,14 +40,14 @@ RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 class Memo(dict):
     """Made values by text, of bounded size: two generations, the older dropped when the younger is full."""
 
-    def __init__(self, make, entries: int, chars: int = 64):
+    def __init__(self, make, entries: int, chars: int | None = None):
         super().__init__()
         self.make, self.entries, self.chars, self.older = make, entries, chars, {}
 
     def __missing__(self, key: str):
         if (value := self.older.get(key)) is None:
             value = self.make(key)
-        if len(key) <= self.chars:
+        if self.chars is None or len(key) <= self.chars:
             if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
@@ -54,7 +56,7 @@ class Memo(dict):
 
 
 class PieceCoder:
-    def __init__(self, model_path: str, memo_entries: int = 100_000):
+    def __init__(self, model_path: str, memo_entries: int = 200_000):
         import ahocorasick
         import sentencepiece
 
@@ -67,18 +69,21 @@ class PieceCoder:
             raise ValueError("a piece has a character that is no piece itself")
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece_id):
             raise ValueError("a piece crosses a word boundary")
+        self.piece = {i: p for p, i in self.piece_id.items()}
+        self.size = [len(self.piece.get(i, "")) for i in range(sp.vocab_size())]
         self.automaton = ahocorasick.Automaton()
-        for p in self.piece_id:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.piece_id.items():
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.stems = re.compile(CUT) if not any(re.search(CUT, p) for p in self.piece_id) else re.compile("(?!)")
-        self.fits = Memo(lambda pair: self._fits(*pair), 1 << 18)
+        self.fits = Memo(lambda pair: self._fits(self.piece.get(pair >> PAIR, ""), self.piece[pair & (1 << PAIR) - 1]), 1 << 18)
         self.history: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
         self.prefix = Memo(self._shorter, len(self.piece_id))
         self.known = set("".join(self.piece_id))
-        self.stem = Memo(lambda x: (",".join(map(str, ids := tuple(self.encode_stem(x)))), ids), memo_entries)
-        self.segment = Memo(self.encode_segment, memo_entries)
+        self.said = [str(i) for i in range(sp.vocab_size())]
+        self.stem = Memo(lambda x: tuple(self.encode_stem(x)), memo_entries, 64)
+        self.segment = Memo(self.encode_segment, memo_entries, 64)
 
     def merges(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
         """How the piece's characters merge when they stand alone, the best score first and the leftmost among equals.
@@ -122,73 +127,84 @@ class PieceCoder:
             else:
                 j += 1
 
-    def _shorter(self, piece: str) -> str:
-        """The longest piece that is a proper prefix, or the empty text."""
-        return next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.piece_id), "")
+    def _shorter(self, i: int) -> int:
+        """The longest piece that is a proper prefix, or NONE."""
+        piece = self.piece[i]
+        return next((self.piece_id[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.piece_id), NONE)
 
-    def split(self, run: str) -> list[str]:
-        """The pieces of a run of known characters, by backtracking."""
+    def split(self, run: str) -> list[int]:
+        """The pieces of a run of known characters: the longest at each place if they may be neighbours, else by backtracking.
+
+        Pieces that cover the run and may each follow the one before are its encoding: there is only one such row.
+        """
+        fits, size = self.fits, self.size
+        out, n, before = [], 0, NONE
+        for _, i in self.automaton.iter_long(run):
+            if not fits[before << PAIR | i]:
+                return self.backtracked(run, out, n)
+            out.append(i)
+            n += size[i]
+            before = i
+        return out if n == len(run) else self.backtracked(run, [], 0)
+
+    def backtracked(self, run: str, out: list[int], at: int) -> list[int]:
+        """The pieces of a run of which ``out``, up to ``at``, are the longest in turn and may be neighbours."""
+        fits, shorter, size = self.fits, self.prefix, self.size
         n = len(run)
-        longest = [1] * n
-        for end, size in self.automaton.iter(run):  # ends ascend: of one start, the last match is the longest
-            longest[end - size + 1] = size
-        fits, shorter = self.fits.__getitem__, self.prefix.__getitem__
+        longest = [NONE] * n
+        for end, i in self.automaton.iter(run):  # ends ascend: of one start, the last match is the longest
+            longest[end - size[i] + 1] = i
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, before, piece, clean = 0, "", run[: longest[0]], True
+        before, i, clean = out[-1] if out else NONE, longest[at], True
         while at < n:
-            while piece:
-                end = at + len(piece)
-                if (clean or not failed[end >> 3] >> (end & 7) & 1) and fits((before, piece)):
+            while i >= 0:
+                end = at + size[i]
+                if (clean or not failed[end >> 3] >> (end & 7) & 1) and fits[before << PAIR | i]:
                     break
-                piece = shorter(piece)
-            if piece:
-                out.append(piece)
-                at, before = end, piece
-                piece = run[at : at + longest[at]] if at < n else ""
+                i = shorter[i]
+            if i >= 0:
+                out.append(i)
+                at, before = end, i
+                i = longest[at] if at < n else NONE
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 clean = False
-                piece = out.pop()
-                at -= len(piece)
-                before = out[-1] if out else ""
+                i = out.pop()
+                at -= size[i]
+                before = out[-1] if out else NONE
         return out
 
     def encode_stem(self, stem: str) -> list[int]:
         """A stretch of text without inner cut: known characters by backtracking, each other one as its bytes."""
         if self.known.issuperset(stem):
-            return [self.piece_id[p] for p in self.split(stem)]
+            return self.split(stem)
         ids: list[int] = []
         run = ""
         for c in stem:
             if c in self.known:
                 run += c
                 continue
-            ids += [self.piece_id[p] for p in self.split(run)] if run else []
+            ids += self.split(run) if run else []
             ids += (self.byte_id[b] for b in c.encode())
             run = ""
-        return ids + ([self.piece_id[p] for p in self.split(run)] if run else [])
+        return ids + (self.split(run) if run else [])
 
-    def encode_segment(self, segment: str) -> tuple[str, tuple[int, ...]]:
-        """The ids, also as comma-joined text.  Tuples of numbers, so that the garbage collector need not track them."""
+    def encode_segment(self, segment: str) -> tuple[int, ...]:
+        """The ids.  Tuples of numbers, so that the garbage collector need not track them."""
         stems = [self.stem[x] for x in self.stems.split(segment)]
-        return stems[0] if len(stems) == 1 else (",".join([x[0] for x in stems]), tuple(chain.from_iterable([x[1] for x in stems])))
-
-    def coded(self, text: str | None) -> list[tuple[str, tuple[int, ...]]]:
-        segment = self.segment
-        return [segment[s] for s in self.segments.findall(SPACE + text.replace(" ", SPACE))] if text else []
+        return stems[0] if len(stems) == 1 else tuple(chain.from_iterable(stems))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for x in self.coded(text) for i in x[1]]
+        segment = self.segment
+        return list(chain.from_iterable([segment[s] for s in self.segments.findall(SPACE + text.replace(" ", SPACE))])) if text else []
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text and of the decoded text."""
-        coded = self.coded(text)
-        ids = list(chain.from_iterable([x[1] for x in coded]))
-        said = ",".join([x[0] for x in coded])
+        ids, names = self.encode(text), self.said
+        said = ",".join([names[i] for i in ids])
         return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
