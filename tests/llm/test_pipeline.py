@@ -1,8 +1,13 @@
 """The near-duplicate stage of the corpus pipeline against brute force."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from weftline.llm import pieces
+from weftline.llm.queries import piece_model
 
 
 def shingles(t):
@@ -41,3 +46,16 @@ def test_one_row_of_each_group_of_near_copies(spark):
     got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "").collect()
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == want
     assert len(got) < len(rows) - 50
+
+
+def test_pieces_are_made_from_arrow_slices(spark):
+    coded = pieces.round_trip(F.col("text"), piece_model(), at_once=3)
+    texts = [None, "", "one two", "中文🙂 ï", *(f"row {k} of\nmany" for k in range(20))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").coalesce(1).select("k", "text", coded.alias("p"))
+    # 251: over Arrow arrays; a pandas UDF holds all texts of a batch as Python strings
+    assert re.search(r"ArrowEvalPython .*, 251\n", df._jdf.queryExecution().executedPlan().toString())
+    c = pieces.coder(piece_model())
+    rows = df.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert list(r.p.ids) == c.library.encode(r.text or "") and r.p.text == (r.text or "")

@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -259,15 +259,16 @@ def round_trip(text: Column, model_path: str, at_once: int = 500) -> Column:
     As one stage of several in a session, it gives its coder back with the partition: workers that wait would hold it.
     """
 
-    @F.pandas_udf("ids array<int>, text string")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids array<int>, text string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import gc
 
         c = PieceCoder(model_path, memo_entries=40_000)
         for texts in batches:
             for k in range(0, len(texts), at_once):
-                ids = [c.encode(t) for t in texts.iloc[k : k + at_once]]
-                yield pd.DataFrame({"ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "text": [c.decode(x) for x in ids]})
+                ids = [c.encode(t) for t in texts.slice(k, at_once).to_pylist()]
+                said = pa.array([c.decode(x) for x in ids], pa.string())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), said], ["ids", "text"])
         del c
         gc.collect()  # its memos refer to it
 
