@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         got = added.groupBy("k").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         shared.destroy()  # its copies on the executors' disks go before the next round makes more
         k = got["k"].to_numpy()
-        z[k] += got["z"].to_numpy() / MICRO
-        n[k] += got["n"].to_numpy() / MICRO
+        z[k] += got["z"].to_numpy() / MICRO / shards
+        n[k] += got["n"].to_numpy() / MICRO / shards
     w = Ftrl(z, n, alpha, beta, l1, l2).weights()
     k = np.flatnonzero(w[:-1])
     model = k, w[k], float(w[-1])
