@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import pieces
+from weftline.llm import pieces, simhash
 from weftline.llm.queries import piece_model
 
 
@@ -48,6 +48,44 @@ def test_one_row_of_each_group_of_near_copies(spark):
     assert len(got) < len(rows) - 50
 
 
+def test_near_copies_that_stay_apart_make_no_row_for_each_pair(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6)))
+    words = [word() for _ in range(200)]
+
+    def edited(w, k):
+        return [word() + "x" if i in at else x for at in [set(rnd.sample(range(200), k))] for i, x in enumerate(w)]
+
+    copies = [edited(words, 4) for _ in range(400)]  # two of them have a similarity of about 0.7
+    copies += [edited(w, 1) for w in copies[:40]] + [edited(w, 2) for w in copies[:20]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(copies)]
+    root = list(range(len(rows)))
+    sets = [shingles(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    written = []
+    real = simhash.materialised
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialised", counted)
+    marked, found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    groups = {}
+    for r in marked.join(found, "__row").collect():
+        groups.setdefault(r["__component"], set()).add(r.doc_id)
+    want = {}
+    for k, r in enumerate(root):
+        want.setdefault(r, set()).add(k)
+    assert sorted(map(min, groups.values())) == sorted(want) and sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert len(want) > 300 and max(written) <= 24 * len(rows)  # there are 105,570 pairs
+
+
 def test_pieces_are_made_from_arrow_slices(spark):
     coded = pieces.round_trip(F.col("text"), piece_model(), at_once=3)
     texts = [None, "", "one two", "中文🙂 ï", *(f"row {k} of\nmany" for k in range(20))]

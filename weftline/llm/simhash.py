@@ -17,7 +17,9 @@ near copies differ in few bits.
 ``near_duplicates`` finds links within ``radius`` bits of one fingerprint; the search is exact.  ``similar`` finds texts
 whose sets of shingles have a Jaccard similarity of ``permille`` or more: ``WORDS`` independent fingerprints each make
 an index, in which the allowed differences grow with the number of bits compared (``LOOSE``), so that upper nodes prune
-early; candidates are near in all fingerprints together and are then compared exactly.
+early; candidates are near in all fingerprints together.  Candidates are not returned as pairs: each task returns a
+spanning forest of its own, their components (clusters) are dealt out again with the sets of hashed shingles, and the
+tasks compare within a cluster and return spanning forests of what is alike.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; repeated rows each get a row;
 a null id stands in no minimum, and a component of null ids only has a null component id; ``similar`` keeps all columns
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,9 @@ LOOSE = 0.15
 #: In ``similar``: differences allowed in one whole fingerprint (0.998 of pairs at similarity 0.8), and in all of them
 #: together, in 1/1000 of their bits (0.998 of pairs).
 NARROW, WIDE = 18, 205
+#: In ``similar``: a cluster has a part for each ``PART`` rows, up to ``PARTS``; a row meets each part of its cluster, so it
+#: is sent ``PARTS`` times at most.  More parts only where one would hold more than ``MOST_ROWS`` rows or ``MOST_HASHES``.
+PART, PARTS, MOST_ROWS, MOST_HASHES = 128, 24, 1 << 14, 1 << 20
 
 
 def votes(h: np.ndarray) -> np.ndarray:
@@ -354,11 +358,16 @@ def shingles(text: str | None, size: int) -> set[bytes]:
     return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def signature(text: str | None, size: int) -> tuple:
-    """The digest of the set of shingles, its size, and its fingerprints as signed longs."""
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """The hashed set of shingles, sorted."""
     import xxhash
 
-    h = np.array(sorted({xxhash.xxh64_intdigest(x, 42) for x in shingles(text, size)}), "<u8")
+    return np.array(sorted({xxhash.xxh64_intdigest(x, 42) for x in shingles(text, size)}), "<u8")
+
+
+def signature(text: str | None, size: int) -> tuple:
+    """The digest of the set of shingles, its size, and its fingerprints as signed longs."""
+    h = hashes(text, size)
     total = np.zeros((WORDS, 64), np.int64)
     for k in range(0, len(h), 1 << 14):
         part = h[k : k + (1 << 14)]
@@ -369,65 +378,111 @@ def signature(text: str | None, size: int) -> tuple:
     return (hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest(), len(h), *_majority(total, len(h)).view(np.int64).tolist())
 
 
-@lru_cache(maxsize=64)
-def _kept(text: str | None, size: int) -> set[bytes]:
-    return shingles(text, size)
+NAMES = [f"w{k}" for k in range(WORDS)]
 
 
-def _alike(size: int, permille: int):
-    @F.pandas_udf("boolean")
-    def of(one: pd.Series, other: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(one, other, strict=True):
-            x, y = _kept(s, size), _kept(t, size)
-            both = len(x & y)
-            out.append(1000 * both >= permille * (len(x) + len(y) - both))
-        _kept.cache_clear()  # workers that wait hold no texts
-        return pd.Series(out, dtype=bool)
-
-    return of
+def _near(w: np.ndarray, v: np.ndarray, m: np.ndarray, n: np.ndarray, permille: int) -> np.ndarray:
+    """Whether sets of sizes m and n, with fingerprints w and v by columns, may be alike."""
+    far = sum((np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(w, v, strict=True)), np.zeros(len(n), np.int64))
+    return (np.minimum(m, n) * 1000 >= np.maximum(m, n) * permille) & (far <= 64 * WORDS * WIDE // 1000)
 
 
-def _candidates(items: DataFrame, permille: int, capacity: int, nearest: bool) -> DataFrame:
-    """``a, b`` (rows of items): candidates with different ``root``; if ``nearest`` only the nearest one of each row."""
-    names = [f"w{k}" for k in range(WORDS)]
+def _candidates(items: DataFrame, permille: int, capacity: int) -> DataFrame:
+    """``a, b`` (rows of items): links that join all candidates."""
     allowed = np.floor(1.5 + np.arange(65) * LOOSE)
     allowed[64] = NARROW
-    most = 64 * WORDS * WIDE // 1000
 
     def search(k: int, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        w = [np.ascontiguousarray(x[names].to_numpy(np.int64).view(np.uint64).T) for x in ((one,) if two is one else (one, two))]
+        sides = (one,) if two is one else (one, two)
+        w = [np.ascontiguousarray(x[NAMES].to_numpy(np.int64).view(np.uint64).T) for x in sides]
         index = [GrayIndex(x[k]) for x in w]
-        n, root, row = ([x[c].to_numpy(np.int64) for x in (one, two)] for c in ("n", "root", "row"))
-        found = [np.zeros((3, 0), np.int64)]
+        n = [x["n"].to_numpy(np.int64) for x in sides]
+        row = np.concatenate([x["row"].to_numpy(np.int64) for x in sides])
+        shift = 0 if two is one else len(one)
+        forest = Forest(len(row))
+        found = [np.zeros((2, 0), np.int64)]
         for p, q in index[0].pairs(index[-1], allowed):
             p, q = index[0].order[p], index[-1].order[q]
-            m, l = n[0][p], n[1][q]  # noqa: E741
-            left = (root[0][p] != root[1][q]) & (np.minimum(m, l) * 1000 >= np.maximum(m, l) * permille)
-            p, q = p[left], q[left]
-            far = sum((np.bitwise_count(x[p] ^ y[q]).astype(np.int64) for x, y in zip(w[0], w[-1], strict=True)), np.zeros(len(p), np.int64))
-            left = far <= most
-            found.append(np.stack([p[left], q[left], far[left]]))
-            if nearest and sum(x.shape[1] for x in found) > 1 << 20:
-                found = [_nearest(np.concatenate(found, 1), two is one)]
-        p, q, _ = _nearest(np.concatenate(found, 1), two is one) if nearest else np.concatenate(found, 1)
-        return pd.DataFrame({"a": np.minimum(row[0][p], row[1][q]), "b": np.maximum(row[0][p], row[1][q])})
-
-    rows = items.select("row", "root", "n", *names)
-    return _searched(rows, names, allowed, capacity, 4, search, "a long, b long").distinct()
-
-
-def _nearest(found: np.ndarray, same: bool) -> np.ndarray:
-    """Of each row on either side the pair with the least distance."""
-    kept = np.zeros(found.shape[1], bool)
-    sides = [found[0], found[1]]
-    if same:
-        sides = [np.concatenate(sides)]
-    for x in sides:
-        at = np.arange(len(x)) % max(found.shape[1], 1)
-        by = np.lexsort((at, found[2][at], x))
-        kept[at[by[np.flatnonzero(np.diff(x[by], prepend=-1))]]] = True
-    return found[:, kept]
+            left = _near(w[0][:, p], w[-1][:, q], n[0][p], n[-1][q], permille)
+            if left.any():
+                both = np.stack([p[left], q[left] + shift])
+                found.append(row[both[:, forest.add(*both)]])
+        a, b = np.concatenate(found, 1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return _searched(items.select("row", "n", *NAMES), NAMES, allowed, capacity, 4, search, "a long, b long")
+
+
+def _alike(pdf: pd.DataFrame, permille: int) -> pd.DataFrame:
+    """``a, b`` (rows): a spanning forest of the rows alike in each cluster, or in two parts (sides 0 and 1) of one."""
+    pdf = pdf.sort_values(["cluster", "side"], kind="stable")
+    n, row, cluster, side = (pdf[c].to_numpy(np.int64) for c in ("n", "row", "cluster", "side"))
+    w = np.ascontiguousarray(pdf[NAMES].to_numpy(np.int64).view(np.uint64).T)
+    values, ids = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in pdf["hashes"]]), return_inverse=True)
+    begins = np.cumsum(n) - n
+    held = np.zeros(len(values), bool)
+    label = np.arange(len(pdf))  # of the tree of each row
+    out = [np.zeros((2, 0), np.int64)]
+    bounds = np.append(np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1)), len(pdf))
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        two = first + int(np.searchsorted(side[first:last], 1))
+        for p in range(first, two):
+            q = np.arange(p + 1 if two == last else two, last)
+            q = q[label[q] != label[p]]
+            q = q[_near(w[:, p : p + 1], w[:, q], n[p], n[q], permille)]
+            if not len(q):
+                continue
+            mine = ids[begins[p] : begins[p] + n[p]]
+            held[mine] = True
+            ends = np.cumsum(n[q])
+            theirs = ids[np.arange(ends[-1]) + np.repeat(begins[q] - ends + n[q], n[q])]
+            both = np.add.reduceat(held[theirs], ends - n[q], dtype=np.int64)
+            held[mine] = False
+            q = q[1000 * both >= permille * (n[p] + n[q] - both)]
+            trees, at = np.unique(label[q], return_index=True)
+            out.append(np.stack([np.full(len(at), row[p]), row[q[at]]]))
+            inside = label[first:last]
+            inside[np.isin(inside, trees)] = label[p]
+    a, b = np.concatenate(out, 1)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _members(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``row, cluster, parts`` of each item that has a candidate."""
+    roots = materialised(components(candidates))
+    members = roots.select(F.col("node").alias("row"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct())
+    members = materialised(members.join(items.select("row", "n"), "row"))
+    over = lambda c, most: F.ceil(c / F.lit(most))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("h"))
+    parts = F.greatest(F.least(over(F.col("m"), PART), F.lit(PARTS)), over(F.col("m"), MOST_ROWS), over(F.col("h"), MOST_HASHES))
+    return salted_join(members, sizes.select("cluster", parts.cast("int").alias("parts")), "cluster")
+
+
+def _sound(marked: DataFrame, members: DataFrame, text: str, size: int, permille: int) -> DataFrame:
+    """``a, b`` (rows): links that join all members of a cluster that are alike.
+
+    Clusters of one part go to buckets; of others, each pair of parts goes to a task.
+    """
+
+    @F.pandas_udf("binary")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([hashes(t, size).tobytes() for t in texts], dtype=object)
+
+    rows = marked.select(F.col("__row").alias("row"), "__s.n", *(f"__s.{c}" for c in NAMES), F.col(text).alias("body"))
+    rows = rows.join(small(members.drop("n")), "row").withColumn("hashes", hashed("body")).drop("body")
+    buckets = max(64, -(-(members.where("parts = 1").agg(F.sum("n")).first()[0] or 0) // MOST_HASHES))
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    met = rows.withColumn("part", part).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    alone = F.col("parts") == 1
+    dealt = met.select(
+        "row", "cluster", "n", *NAMES, "hashes",
+        F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")).alias("g"),
+        F.when(alone, -1).otherwise(F.least("part", "met")).alias("s"),
+        F.when(alone, -1).otherwise(F.greatest("part", "met")).alias("t"),
+        (F.col("part") > F.col("met")).cast("int").alias("side"),
+    )
+    return dealt.groupBy("g", "s", "t").applyInPandas(lambda pdf: _alike(pdf, permille), "a long, b long")
 
 
 def similar(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int = 800, capacity: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
@@ -435,35 +490,21 @@ def similar(docs: DataFrame, *, text: str = "text", size: int = 5, permille: int
     Jaccard similarity of ``permille`` or more of their sets of shingles, or by a chain of such.  Rows with equal sets
     are one item.
 
-    First each item is compared with its nearest candidates, twice, then all candidates that are not yet in one
-    component: copies of one text cost no pairs.  Null and wordless texts are one item; ids play no part.  Texts are
-    shuffled only where they are compared.
+    Items that candidates join, directly or by a chain, are a cluster; its items are compared with one another in tasks
+    that return links of a spanning forest, so that neither search makes a row for each pair.  Null and wordless texts are
+    one item; ids play no part.  Texts are not shuffled, hashed sets only of items that have candidates.
     """
-    names = [f"w{k}" for k in range(WORDS)]
 
-    @F.pandas_udf("item string, n long, " + ", ".join(f"{w} long" for w in names))
+    @F.pandas_udf("item string, n long, " + ", ".join(f"{w} long" for w in NAMES))
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([signature(t, size) for t in texts], columns=["item", "n", *names])
+            yield pd.DataFrame([signature(t, size) for t in texts], columns=["item", "n", *NAMES])
 
     marked = materialised(docs.withColumns({"__row": F.monotonically_increasing_id(), "__s": signed(F.col(text))}))
-    items = marked.groupBy(F.col("__s.item").alias("item")).agg(F.min("__row").alias("row"), *(F.first(f"__s.{c}").alias(c) for c in ("n", *names)))
+    items = marked.groupBy(F.col("__s.item").alias("item")).agg(F.min("__row").alias("row"), *(F.first(f"__s.{c}").alias(c) for c in ("n", *NAMES)))
     items = materialised(items)
-    searched = items.where("n > 0").withColumn("root", F.col("row"))
-    links = roots = None
-    for nearest in (True, True, False):
-        if roots is not None:
-            again = items.where("n > 0").join(roots, F.col("row") == F.col("node"), "left")
-            searched = again.withColumn("root", F.coalesce("root", "row")).drop("node")
-        pairs = materialised(_candidates(searched, permille, capacity, nearest))
-        if roots is not None and pairs.isEmpty():
-            break
-        asked = materialised(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-        bodies = materialised(marked.select(F.col("__row").alias("row"), F.col(text).alias("body")).join(small(asked), "row", "left_semi"))
-        side = lambda k: bodies.select(F.col("row").alias(k), F.col("body").alias(f"body_{k}"))  # noqa: B023, E731
-        sound = materialised(pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(size, permille)("body_a", "body_b")).select("a", "b"))
-        links = sound if links is None else links.unionByName(sound)
-        roots = materialised(components(links))
+    members = materialised(_members(items, _candidates(items.where("n > 0"), permille, capacity)))
+    roots = materialised(components(_sound(marked, members, text, size, permille)))
     named = items.join(roots, F.col("row") == F.col("node"), "left").select("item", F.coalesce("root", "row").alias("__component"))
     rows = salted_join(marked.select("__row", F.col("__s.item").alias("item")), named, "item").select("__row", "__component")
     return marked.drop("__s"), rows
