@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.tables import best_per_key, materialised, spread_join
+from weftline.operators.tables import best_per_key, materialised, products, spread_join
 
 
 def visible_fields(ancestors: DataFrame, fields: DataFrame) -> DataFrame:
@@ -93,37 +93,55 @@ def call_targets(calls: DataFrame, ancestors: DataFrame, methods: DataFrame, imp
     below its owner declare themselves (``impl``).  Where the receiver has none, those of the types below it are.  An
     own call that finds nothing is looked up in the static imports, in their order.
 
-    Calls are resolved by signature, each once; what a signature finds is dealt back to its calls with salts, as one may
-    have very many.
+    Calls are resolved by signature, each once.  Targets below a type are kept once for the type, name and number of
+    arguments, as a set that all calls which lead there share: the body or method that each type below declares itself is
+    looked up, not what each inherits, as that is declared below as well, or met by a type of several supertypes (for
+    which it is looked up).  Calls and sets meet in the last step (``products``), which nothing is written or shuffled
+    after; a signature that very many calls have is dealt out with salts.
     """
-    asked = materialised(calls.select(F.when(F.col("own"), F.col("type")).otherwise(F.col("receiver")).alias("type"), "own", "name", "argc").where("type IS NOT NULL").distinct())
+    keys = ["type", "name", "argc"]
+    rows = calls.select("call", "own", F.when(F.col("own"), F.col("type")).otherwise(F.col("receiver")).alias("type"), "name", "argc")
+    asked = materialised(rows.select("own", *keys).where("type IS NOT NULL").distinct())
     found = materialised(first_methods(asked, ancestors, methods))
     target = F.concat(F.col("owner").cast("string"), F.lit("#"), F.col("signature"))
-    keys = ["type", "name", "argc"]
-    below = ancestors.where("depth > 0").select(F.col("dst").alias("owner"), F.col("src").alias("under"))
-    direct = found.select(*keys, target.alias("target"), F.lit(False).alias("impl"))
-
-    abstract = found.where("NOT has_body").join(below.hint("merge"), "owner").select(*keys, F.col("under").alias("owner"))
-    n, argc = F.col("params"), F.col("argc")
-    declared = abstract.join(methods.hint("merge"), ["owner", "name"]).where((n == argc) | (F.col("varargs") & (argc >= n - 1)))
-    declared = best_per_key(declared.select(*keys, "owner", "signature", "has_body", "seq"), [*keys, "owner"], F.struct("seq")).where("has_body")
-    bodies = declared.select(*keys, target.alias("target"), F.lit(True).alias("impl"))
-
-    missing = asked.join(found.select(*keys).hint("merge"), keys, "left_anti")
-    lower = materialised(missing.where("NOT own").join(below.withColumnRenamed("owner", "type").hint("merge"), "type"))
-    theirs = first_methods(lower.select(F.col("under").alias("type"), "name", "argc"), ancestors, methods)
-    lower = lower.join(theirs.select(F.col("type").alias("under"), "name", "argc", "owner", "signature").hint("merge"), ["under", "name", "argc"])
-    lower = lower.select(*keys, target.alias("target"), F.lit(True).alias("impl")).distinct()
+    missing = materialised(asked.join(found.select(*keys).hint("merge"), keys, "left_anti"))
+
+    # bodies: of what stands below the owner of a method without a body; else of what stands below a type that has none
+    tops = found.where("NOT has_body").select(F.col("owner").alias("top"), "name", "argc", F.lit(True).alias("bodies"))
+    tops = tops.union(missing.where("NOT own").select(F.col("type").alias("top"), "name", "argc", F.lit(False).alias("bodies"))).distinct()
+    tops = materialised(tops.withColumn("set", F.monotonically_increasing_id()))
+    below = ancestors.where("depth > 0").select(F.col("dst").alias("top"), F.col("src").alias("owner"))
+    below = below.join(tops.select("top").distinct().hint("merge"), "top", "left_semi")
+    declared = methods.groupBy("owner", "name").agg(F.array_sort(F.collect_list(F.struct("seq", "signature", "params", "varargs", "has_body"))).alias("overloads"))
+    fits = lambda m: (m["params"] == F.col("argc")) | (m["varargs"] & (F.col("argc") >= m["params"] - 1))
+    members = below.join(declared.hint("merge"), "owner").join(tops.hint("merge"), ["top", "name"])
+    members = members.withColumn("first", F.get(F.filter("overloads", fits), F.lit(0))).where("first IS NOT NULL AND (NOT bodies OR first.has_body)")
+    members = members.select("set", "owner", "first.signature").select("set", target.alias("target"))
+
+    several = ancestors.where("depth = 1").groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mixed = materialised(ancestors.join(several.hint("merge"), "dst", "left_semi").select(F.col("src").alias("under")).distinct())
+    if not mixed.isEmpty():  # they may inherit from types that are not below
+        under = ancestors.where("depth > 0").select(F.col("dst").alias("type"), F.col("src").alias("under")).join(mixed.hint("merge"), "under", "left_semi")
+        lower = materialised(missing.where("NOT own").join(under.hint("merge"), "type").select(*keys, "under"))
+        theirs = first_methods(lower.select(F.col("under").alias("type"), "name", "argc"), ancestors, methods).withColumnRenamed("type", "under")
+        lower = lower.join(theirs.hint("merge"), ["under", "name", "argc"]).withColumnRenamed("type", "top")
+        members = members.union(lower.join(tops.where("NOT bodies"), ["top", "name", "argc"]).select("set", target.alias("target")))
+    members = materialised(members.distinct())
+    tops = tops.join(members.select("set").distinct().hint("merge"), "set", "left_semi")
 
     static = missing.where("own").join(imports.withColumnRenamed("owner", "from_type").hint("merge"), "type").where("member IS NULL OR member = name")
     theirs = first_methods(static.select(F.col("from_type").alias("type"), "name", "argc"), ancestors, methods)
     static = static.join(theirs.select(F.col("type").alias("from_type"), "name", "argc", "owner", "signature").hint("merge"), ["from_type", "name", "argc"])
-    static = best_per_key(static.select(*keys, "seq", "owner", "signature"), keys, F.struct("seq", "owner", "signature")).select(*keys, target.alias("target"), F.lit(False).alias("impl"))
-
-    by_other = reduce(DataFrame.unionByName, [direct, bodies, lower]).withColumn("own", F.lit(False))
-    by_self = reduce(DataFrame.unionByName, [direct, bodies, static]).withColumn("own", F.lit(True))
-    each = by_other.unionByName(by_self).groupBy("own", *keys).agg(F.array_sort(F.collect_set(F.struct("target", "impl"))).alias("targets"))
-    named = lambda df: df.withColumn("__sig", F.struct("own", *keys))
-    many = named(calls.select("call", "own", F.when(F.col("own"), F.col("type")).otherwise(F.col("receiver")).alias("type"), "name", "argc")).select("call", "__sig")
-    one = named(each).select("__sig", "targets")
-    return spread_join(many, one, "__sig").select("call", F.explode("targets").alias("t")).select("call", "t.target", "t.impl")
+    static = best_per_key(static.select(*keys, "seq", "owner", "signature"), keys, F.struct("seq", "owner", "signature")).select(*keys, target.alias("target"))
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    theirs = tops.where("bodies").select(F.col("top").alias("owner"), "name", "argc", "set", F.lit(False).alias("has_body"))
+    direct = found.join(theirs.hint("merge"), ["owner", "name", "argc", "has_body"], "left").select(*keys, target.alias("target"), "set")
+    direct = asked.join(direct.hint("merge"), keys).select("own", *keys, "target", "set")
+    lower = missing.where("NOT own").join(tops.where("NOT bodies").withColumnRenamed("top", "type").hint("merge"), keys).select("own", *keys, none("string", "target"), "set")
+    static = static.select(F.lit(True).alias("own"), *keys, "target", none("long", "set"))
+    each = reduce(DataFrame.unionByName, [direct, lower, static])
+    named = lambda df: df.withColumn("__sig", F.struct("own", *keys)).drop("own", *keys)
+    led = materialised(spread_join(named(rows), materialised(named(each)), "__sig").select("call", "target", "set"))
+    first = led.where("target IS NOT NULL").select("call", "target", F.lit(False).alias("impl"))
+    return first.unionByName(products(led.where("set IS NOT NULL"), members, "set", "call", "target").withColumn("impl", F.lit(True)))
