@@ -111,7 +111,7 @@ def call_targets(calls: DataFrame, ancestors: DataFrame, methods: DataFrame, imp
     tops = tops.union(missing.where("NOT own").select(F.col("type").alias("top"), "name", "argc", F.lit(False).alias("bodies"))).distinct()
     tops = materialised(tops.withColumn("set", F.monotonically_increasing_id()))
     below = ancestors.where("depth > 0").select(F.col("dst").alias("top"), F.col("src").alias("owner"))
-    below = below.join(tops.select("top").distinct().hint("merge"), "top", "left_semi")
+    below = spread_join(below, tops.select("top").distinct(), "top")  # a root has very many below it
     declared = methods.groupBy("owner", "name").agg(F.array_sort(F.collect_list(F.struct("seq", "signature", "params", "varargs", "has_body"))).alias("overloads"))
     fits = lambda m: (m["params"] == F.col("argc")) | (m["varargs"] & (F.col("argc") >= m["params"] - 1))
     members = below.join(declared.hint("merge"), "owner").join(tops.hint("merge"), ["top", "name"])
